@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
+from catalith.llm.language_id import language_id
+from catalith.llm.quality import quality_rules
 from catalith.llm.sharding import shard_documents
+from catalith.llm.url_filter import filter_urls
+
+
+def op2_url_filter(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -15,9 +26,16 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_quality_rules": op3_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
 }
 
 #: Where DuckDB can say the same. It has no CRC-32, no xxhash64 and no models; those queries are tested against brute force.
