@@ -5,6 +5,7 @@ from __future__ import annotations
 from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
 from catalith.llm.language_id import language_id
+from catalith.llm.packing import pack
 from catalith.llm.quality import quality_rules
 from catalith.llm.sharding import shard_documents
 from catalith.llm.url_filter import filter_urls
@@ -22,6 +23,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
 }
