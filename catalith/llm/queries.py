@@ -6,6 +6,7 @@ from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
 from catalith.llm.language_id import language_id
 from catalith.llm.packing import pack
+from catalith.llm.pii import find_pii
 from catalith.llm.quality import quality_rules
 from catalith.llm.sharding import shard_documents
 from catalith.llm.url_filter import filter_urls
@@ -19,6 +20,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op8_language_id(spark, sf_dir):
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
