@@ -5,6 +5,7 @@ from __future__ import annotations
 from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
 from catalith.llm.language_id import language_id
+from catalith.llm.ngram_join import jaccard_classes
 from catalith.llm.packing import pack
 from catalith.llm.pii import find_pii
 from catalith.llm.quality import quality_rules
@@ -40,6 +41,10 @@ def op8_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
@@ -48,6 +53,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 #: Where DuckDB can say the same. It has no CRC-32, no xxhash64 and no models; those queries are tested against brute force.
@@ -60,4 +66,29 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)
     """,
+    "op9_ngram_join": """
+        WITH RECURSIVE texts AS (
+            SELECT coalesce(text, '') AS text, min(doc_id) AS rep_id, count(*) AS n_copies FROM documents GROUP BY 1
+        ), worded AS (
+            SELECT rep_id, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda w: w <> '') AS w FROM texts
+        ), grams AS (
+            SELECT DISTINCT rep_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+            FROM worded
+        ), sizes AS (
+            SELECT rep_id, count(*) AS n FROM grams GROUP BY 1
+        ), shared AS (
+            SELECT a.rep_id AS a, b.rep_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep_id <> b.rep_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.rep_id = a JOIN sizes y ON y.rep_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+        ), reach(rep_id, other) AS (
+            SELECT rep_id, rep_id FROM texts UNION SELECT r.rep_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), classes AS (
+            SELECT rep_id, min(other) AS class_id FROM reach GROUP BY 1
+        ), counted AS (
+            SELECT a AS rep_id, count(*) AS n FROM links GROUP BY 1
+        )
+        SELECT d.doc_id, t.rep_id, k.class_id, coalesce(n.n, 0) AS n_links, t.n_copies
+        FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes k USING (rep_id) LEFT JOIN counted n USING (rep_id)
+    """,
 }
