@@ -5,6 +5,7 @@ from __future__ import annotations
 from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
 from catalith.llm.language_id import language_id
+from catalith.llm.line_dedup import dedup_lines
 from catalith.llm.ngram_join import jaccard_classes
 from catalith.llm.packing import pack
 from catalith.llm.pii import find_pii
@@ -45,6 +46,10 @@ def op9_ngram_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
@@ -54,6 +59,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_ngram_join": op9_ngram_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: Where DuckDB can say the same. It has no CRC-32, no xxhash64 and no models; those queries are tested against brute force.
@@ -91,4 +97,32 @@ ORACLE_SQL = {
         SELECT d.doc_id, t.rep_id, k.class_id, coalesce(n.n, 0) AS n_links, t.n_copies
         FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes k USING (rep_id) LEFT JOIN counted n USING (rep_id)
     """,
+    "op10_line_dedup": """
+        WITH docs AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+        ), exploded AS (
+            SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS ln FROM docs
+        ), summed AS (
+            SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS cum
+            FROM (SELECT doc_id, line, ln, len(regexp_extract_all(line, '[^ \t-\r]+')) AS w FROM exploded)
+        ), pairs AS (
+            SELECT x.doc_id, x.ln AS a, y.ln AS b FROM summed x JOIN summed y ON x.doc_id = y.doc_id AND x.ln <= y.ln AND y.cum - x.cum + x.w >= 50
+        ), runs AS (
+            SELECT doc_id, a, min(b) AS b FROM pairs GROUP BY 1, 2 UNION SELECT doc_id, max(a), b FROM pairs GROUP BY doc_id, b
+        ), worded AS (
+            SELECT r.doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS content FROM runs r JOIN docs USING (doc_id)
+        ), placed AS (
+            SELECT doc_id, a, b, first_value(doc_id) OVER f AS first_doc, first_value(a) OVER f AS first_a
+            FROM worded WINDOW f AS (PARTITION BY content ORDER BY doc_id, a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+        ), copies AS (
+            SELECT doc_id, a, b FROM placed WHERE first_doc <> doc_id OR first_a + b - a < a
+        ), gone AS (
+            SELECT DISTINCT e.doc_id, e.ln FROM exploded e JOIN copies c ON c.doc_id = e.doc_id AND e.ln BETWEEN c.a AND c.b
+        ), kept AS (
+            SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.ln) AS text, count(*) AS n FROM exploded e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.ln = e.ln GROUP BY 1
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+               coalesce(len(d.lines), 0) AS n_lines, coalesce(len(d.lines), 0) - coalesce(k.n, 0) AS n_removed
+        FROM docs d LEFT JOIN kept k USING (doc_id)
+    """,
 }
