@@ -10,10 +10,15 @@ from catalith.llm.ngram_join import jaccard_classes
 from catalith.llm.packing import pack
 from catalith.llm.pii import find_pii
 from catalith.llm.quality import quality_rules
+from catalith.llm.sentencepiece_lattice import encode
 from catalith.llm.sharding import shard_documents
 from catalith.llm.url_filter import filter_urls
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -51,6 +56,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
