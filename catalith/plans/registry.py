@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("catalog",)
+
+
+def _modules():
+    return [importlib.import_module(f"catalith.plans.{m}") for m in MODULES]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    from catalith.plans.catalog import catalog_decisions
+
+    return catalog_decisions(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.ORACLE_SQL.items()}
