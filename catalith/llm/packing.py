@@ -32,7 +32,7 @@ OPEN = 32
 #: Partitions whose last windows are merged in one task; each brings less than one window.
 GROUP = 64
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBERED, LONG_WORD = 300_000, 64
+REMEMBERED, LONG_WORD = 1_000_000, 64
 #: Characters tokenized in one go, about.
 CHUNK = 1 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -49,9 +49,12 @@ class WordTokenizer:
 
     The tokenizer drops white space and no token, merge, normal form or special
     string spans it, so the ids of a text are those of its words in order; they are
-    looked up and only words not seen lately are encoded.
+    looked up and only words not seen lately are encoded. Nor does one span a letter and
+    the stop or comma that ends its word, so that is looked up on its own.
     """
 
+    stops = frozenset((b",", b"."))
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -59,26 +62,35 @@ class WordTokenizer:
         self.encoder, self.known = Tokenizer.from_file(path), {}
 
     def _pack(self, words: list[bytes]) -> list[bytes]:
-        found = self.encoder.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        found = self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        docs = [t.encode("utf-8", "replace").split() for t in texts]
+        docs = [self._words(t) for t in texts]
         here = set().union(*docs)
-        missing = here - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = here
-        missing = list(missing)
         known = self.known
-        known.update(zip(missing, self._pack(missing), strict=True))
+        missing = here - known.keys()
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+            missing = here
+        cores = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in missing}
+        cores = list(cores.union(self.stops) - known.keys())
+        known.update(zip(cores, self._pack(cores), strict=True))
+        ended = [w for w in missing if w not in known]
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
         out = [b"".join(map(known.__getitem__, words)) for words in docs]
         for w in missing:
             if len(w) > LONG_WORD:
                 del known[w]
+                known.pop(w[:-1], None)
         return out
 
+    def _words(self, text: str) -> list[bytes]:
+        """Words, with A-Z lower-cased as the tokenizer would, unless a special string may be in the text."""
+        data = text.encode("utf-8", "replace")
+        return (data if b"<|" in data else data.lower()).split()
+
 
 class Packer:
     """Windows of one partition; pieces leave as tuples of _PIECE, with their ids while the window isn't final."""
