@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog",)
+MODULES = ("catalog", "discovery", "documents", "evaluation")
 
 
 def _modules():
