@@ -115,7 +115,7 @@ def format_g(c) -> Column:
     fixed = F.when(digits == 0, F.format_string("%.0f", x))
     for d in range(1, 10):
         fixed = fixed.when(digits == d, F.format_string(f"%.{d}f", x))
-    return F.when(x == 0, F.lit("0")).otherwise(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1").substr(F.lit(1), F.lit(400))).alias("g")
+    return F.when(x == 0, F.lit("0")).otherwise(F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed))
 
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
