@@ -140,3 +140,35 @@ def is_placeholder(c, bare_dash: bool = False) -> Column:
 def host_covered_by(host: Column, domain: Column) -> Column:
     h, d = normalize_host(host), normalize_host(domain)
     return (h != "") & (d != "") & ((h == d) | F.endswith(h, F.concat(F.lit("."), d)))
+
+
+# Fixed value: the punctuation that separates the tokens of class names.
+CLASS_PUNCTUATION = ",;/()[]{}-_+.:\\\"'"
+
+
+def class_tokens(c) -> Column:
+    """The distinct words of two or more characters of a class name or phrase."""
+    plain = F.lower(F.translate(col(c), CLASS_PUNCTUATION, " " * len(CLASS_PUNCTUATION)))
+    return F.array_distinct(F.filter(F.split(collapse(plain), " "), lambda t: F.length(t) > 1))
+
+
+@F.pandas_udf(StringType())
+def prepared(texts: pd.Series) -> pd.Series:
+    """Compatibility form, one plain space between words, case folded; invisible characters stay."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+
+@F.pandas_udf(StringType())
+def fold_case(texts: pd.Series) -> pd.Series:
+    """Full case folding; lower() leaves letters like the sharp s as they are."""
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+def same_without_spaces(a, b) -> Column:
+    return F.regexp_replace(col(a), r"(?U)\s", "") == F.regexp_replace(col(b), r"(?U)\s", "")
+
+
+def spaced_pattern(mpn) -> Column:
+    """A pattern for a reference with white space anywhere between its characters."""
+    quoted = F.transform(F.filter(F.split(canonical_mpn(mpn), ""), lambda x: x != ""), lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), F.array_join(quoted, r"\s*"), F.lit(r"(?![A-Za-z0-9])"))

@@ -93,3 +93,53 @@ def quantities(df: DataFrame, c: str) -> DataFrame:
 
 def magnitudes_agree(a, b) -> Column:
     return F.abs(col(a) - col(b)) <= 1e-9 * F.greatest(F.abs(col(a)), F.abs(col(b)), F.lit(1.0))
+
+
+# Known spellings of units in delivered attributes.
+UOM_ALIASES = {"V": "V", "volt": "V", "volts": "V", "A": "A", "amp": "A", "amps": "A", "in": "in", "inch": "in", "inches": "in", "dB": "dB", "dBA": "dBA"}
+
+
+def normalize_uom(c) -> Column:
+    """struct(uom, resolution): NONE, EXACT, ALIAS or UNRESOLVED; only exact known spellings count."""
+    table = F.create_map(*[F.lit(x) for kv in UOM_ALIASES.items() for x in kv])
+    raw = F.coalesce(col(c), F.lit(""))
+    found = F.try_element_at(table, raw)
+    resolution = F.when(raw == "", "NONE").when(found.isNull(), "UNRESOLVED").when(found == raw, "EXACT").otherwise("ALIAS")
+    return F.struct(found.alias("uom"), resolution.alias("resolution"))
+
+
+def compatible_units(spark: SparkSession) -> DataFrame:
+    """(dimension, symbols) in the order of the table."""
+    symbols = F.transform(F.array_sort(F.collect_list(F.struct("position", "symbol"))), lambda x: x["symbol"])
+    return units(spark).groupBy("dimension").agg(symbols.alias("symbols"))
+
+
+def resolve_source_unit(c) -> Column:
+    """The known symbol a source spelling stands for: itself, else the only one equal but for case; else null."""
+    low: dict[str, list[str]] = {}
+    for s, _, _ in UNITS:
+        low.setdefault(s.lower(), []).append(s)
+    exact = F.array(*[F.lit(s) for s, _, _ in UNITS])
+    alone = F.create_map(*[F.lit(x) for k, v in low.items() if len(v) == 1 for x in (k, v[0])])
+    return F.when(F.array_contains(exact, strip(c)), strip(c)).otherwise(F.try_element_at(alone, F.lower(strip(c))))
+
+
+def semantic_key(kind, value, lo, hi, text, flag, unit) -> Column:
+    """What two values are compared by: numbers to nine places (half to even), text without case."""
+    nine = lambda x: F.bround(col(x).cast("decimal(30,12)"), 9).cast("string")
+    return (
+        F.when(col(kind) == "numeric", F.concat_ws("|", F.lit("numeric"), nine(value), F.coalesce(col(unit), F.lit(""))))
+        .when(col(kind) == "range", F.concat_ws("|", F.lit("range"), nine(lo), nine(hi), F.coalesce(col(unit), F.lit(""))))
+        .when(col(kind) == "logical", F.concat_ws("|", F.lit("logical"), col(flag).cast("string")))
+        .otherwise(F.concat_ws("|", F.lit("alphanumeric"), F.lower(col(text))))
+    )
+
+
+def delivery_value(kind, number_text, lo_text, hi_text, text, flag) -> Column:
+    """As delivered: Yes or No, `min to max`, numbers with the digits they were given, else the text."""
+    return (
+        F.when(col(kind) == "logical", F.when(col(flag), "Yes").otherwise("No"))
+        .when(col(kind) == "range", F.concat(col(lo_text), F.lit(" to "), col(hi_text)))
+        .when(col(kind) == "numeric", col(number_text))
+        .otherwise(col(text))
+    )

@@ -148,3 +148,33 @@ def build_queries(df: DataFrame) -> DataFrame:
     sites = F.transform(F.slice("domains", 1, 2), lambda d: F.concat(F.lit("site:"), d, F.lit(" "), q("mpn")))
     rest = F.array(F.concat_ws(" ", q("manufacturer"), q("mpn")), F.concat_ws(" ", q("mpn"), F.lit("datasheet")), F.concat_ws(" ", q("brand"), q("mpn")))
     return df.withColumn("queries", F.slice(F.array_distinct(F.filter(F.concat(sites, rest), lambda x: x.isNotNull())), 1, 4))
+
+
+def manufacturer_decisions(df: DataFrame, rules: DataFrame, id_col: str, deliverable: bool = True) -> DataFrame:
+    """df with manuf_decision, manuf_reason, manuf_canonical: parse, look up stage by stage, decide."""
+    parsed = parse_manufacturer(df)
+    found = staged_lookup(parsed.select(id_col, "manuf_name"), "manuf_name", rules, id_col).select(id_col, "stage", "reason", "canonical")
+    out = parsed.join(found, id_col)
+    status = F.col("manuf_status")
+    reason = F.when(status == "MISSING", "MISSING_VALUE").when(status == "PLACEHOLDER", "PLACEHOLDER").when(status == "UNRESOLVED", "AMBIGUOUS_MANUFACTURER").otherwise(F.col("reason"))
+    decision = F.when(status.isin("MISSING", "PLACEHOLDER", "UNRESOLVED"), "WITHHOLD").when(F.col("canonical").isNotNull() & F.lit(deliverable), "COMMIT").otherwise("REVIEW")
+    return out.withColumns({"manuf_decision": decision, "manuf_reason": reason}).withColumnRenamed("canonical", "manuf_canonical").drop("stage", "reason")
+
+
+def exact_examples(df: DataFrame, examples: DataFrame) -> DataFrame:
+    """df with delivery COMMIT or WITHHOLD: a row equals an example in all six raw fields. examples: the fields and classpath."""
+    one = examples.groupBy(*FIELDS).agg(F.min("classpath").alias("classpath"), F.count_distinct("classpath").alias("n")).where("n = 1").drop("n")
+    out = df.join(one, list(FIELDS), "left")
+    return out.withColumn("delivery", F.when(F.col("classpath").isNotNull(), "COMMIT").otherwise("WITHHOLD"))
+
+
+def slot_profile(examples: DataFrame, record: str) -> DataFrame:
+    """(slot, label, uom) that all examples share; uom only where all agree on one that isn't blank. examples: record, slot, label, uom.
+
+    Raises in the job if the label sequences differ.
+    """
+    sequences = examples.where("label IS NOT NULL").groupBy(record).agg(F.array_sort(F.collect_list(F.struct("slot", "label"))).alias("seq"))
+    same = sequences.agg(F.count_distinct("seq").alias("n")).select(F.assert_true(F.col("n") <= 1, F.lit("examples do not share one label sequence")).alias("ok"))
+    slots_ = examples.where("label IS NOT NULL").groupBy("slot", "label").agg(F.min(F.coalesce("uom", F.lit(""))).alias("lo"), F.max(F.coalesce("uom", F.lit(""))).alias("hi"))
+    out = slots_.select("slot", "label", F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != ""), F.col("lo")).alias("uom"))
+    return out.join(F.broadcast(same), F.col("ok").isNull()).drop("ok")

@@ -65,8 +65,8 @@ def all_positions(text: Column, needle: Column) -> Column:
 def phrase_search(phrases: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """(query_id, phrase_id, score, position): the best phrases for each query by shared tokens.
 
-    Both sides have (id, words). Score: Jaccard plus a quarter of the share of the query's
-    tokens that are found. Tokens meet in an equi-join; a token that many phrases share only
+    Both sides have (id, words). Score: Jaccard plus a quarter of the share of the phrase's
+    tokens that the query has. Tokens meet in an equi-join; a token that many phrases share only
     adds to sums, which are formed before rows move.
     """
     p = phrases.select(F.col("id").alias("phrase_id"), F.array_distinct("words").alias("pw"))
@@ -77,6 +77,6 @@ def phrase_search(phrases: DataFrame, queries: DataFrame, top: int = 5) -> DataF
         .groupBy("query_id", "phrase_id", "np", "nq")
         .agg(F.count(F.lit(1)).alias("both"))
     )
-    score = F.round(F.col("both") / (F.col("np") + F.col("nq") - F.col("both")) + 0.25 * F.col("both") / F.col("nq"), 9)
+    score = F.round(F.col("both") / (F.col("np") + F.col("nq") - F.col("both")) + 0.25 * F.col("both") / F.col("np"), 9)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "phrase_id")
     return shared.withColumn("score", score).withColumn("position", F.row_number().over(best).cast("long")).where(F.col("position") <= top).select("query_id", "phrase_id", "score", "position")

@@ -155,3 +155,48 @@ def bin_rows(words: DataFrame, by: list[str], tolerance: float, xs: list[float])
 
     schema = ", ".join([*(f"{c} {dict(words.dtypes)[c]}" for c in by), "row long, column long, text string"])
     return words.groupBy(*by).applyInPandas(rows, schema)
+
+
+def best_member(members: DataFrame, group: list[str]) -> DataFrame:
+    """The strongest member of each evidence group: smallest (verification, scope, modality, not manufacturer), then the first."""
+    key = F.struct("verification_order", "scope_order", "modality_order", (~F.col("manufacturer")).alias("other"), "ordinal")
+    return members.groupBy(*group).agg(F.min_by("member_id", key).alias("member_id"))
+
+
+def support_factors(members: DataFrame, by: list[str]) -> DataFrame:
+    """What the verified evidence of a value amounts to, and its grade. members: verified, manufacturer, establishes_scope, complete, in_scope, origin."""
+    v = F.col("verified")
+    out = members.groupBy(*by).agg(
+        F.bool_or(v).alias("verified_span"),
+        F.bool_or(v & F.col("manufacturer")).alias("manufacturer_origin"),
+        F.bool_or(v & F.col("establishes_scope")).alias("scope_established"),
+        F.bool_or(v & F.col("complete")).alias("conditions_complete"),
+        F.bool_and(~v | F.col("in_scope")).alias("family_invariance_ok"),
+        F.count_distinct(F.when(v, F.col("origin"))).alias("independent_roots"),
+    )
+    return out.withColumn("grade", support_grade(F.col("verified_span"), F.col("family_invariance_ok"), F.col("manufacturer_origin"), F.col("scope_established"), F.col("conditions_complete")))
+
+
+def scope_binding(covers, scope, mpn) -> Column:
+    """EXACT, CONTRADICTED or NOT_ESTABLISHED: whether an artifact is about a product number."""
+    return F.when(F.col(covers).isNotNull() & (F.col(covers) != F.col(mpn)), "CONTRADICTED").when((F.col(scope) == "EXACT_SKU") & (F.col(covers) == F.col(mpn)), "EXACT").otherwise("NOT_ESTABLISHED")
+
+
+def qualifier_status(required: Column, conditions: Column, has_rule: Column) -> Column:
+    """struct(status, missing): UNKNOWN without a rule, else PARTIAL or COMPLETE with the kinds that lack."""
+    missing = F.array_sort(F.array_except(required, F.map_keys(conditions)))
+    return F.struct(F.when(~has_rule, "UNKNOWN").when(F.size(missing) > 0, "PARTIAL").otherwise("COMPLETE").alias("status"), F.when(has_rule, missing).alias("missing"))
+
+
+def duplicate_keys(proposals: DataFrame, by: list[str]) -> DataFrame:
+    """Adds rejected: DUPLICATE_SOURCE_KEY for every proposal of a key that comes more than once."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    return proposals.withColumn("rejected", F.when(n > 1, "DUPLICATE_SOURCE_KEY"))
+
+
+def numbered_trace(steps: Column) -> Column:
+    return F.transform(steps, lambda x, i: F.struct((i + 1).alias("step"), x.alias("detail")))
+
+
+def supporting_keys(own: Column, merged: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.concat(F.array(own), F.coalesce(merged, F.array().cast("array<string>")))))

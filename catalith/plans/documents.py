@@ -149,7 +149,7 @@ ORACLE_SQL = {
     "replay_join": f"""WITH e AS (SELECT *, {_KEY_SQL} AS key FROM events), r AS (SELECT key, event_id FROM e WHERE event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1)
         SELECT e.event_id, r.event_id AS record, CASE WHEN r.event_id IS NULL THEN 'MISS' ELSE 'HIT' END AS outcome FROM e LEFT JOIN r USING (key) WHERE e.event_id % 3 = 0""",
     "class_search": f"""WITH p AS (SELECT p_partkey AS pid, {_WORDS("concat(p_name, ' ', p_type)")} AS pw FROM part), q AS (SELECT p_partkey AS qid, {_WORDS('p_type')} AS qw FROM part WHERE p_partkey % 100 = 0),
-        s AS (SELECT qid, pid, len(list_intersect(pw, qw)) AS b, len(pw) AS np, len(qw) AS nq FROM p, q), t AS (SELECT qid, pid, round(b / (np + nq - b) + 0.25 * b / nq, 9) AS score FROM s WHERE b > 0)
+        s AS (SELECT qid, pid, len(list_intersect(pw, qw)) AS b, len(pw) AS np, len(qw) AS nq FROM p, q), t AS (SELECT qid, pid, round(b / (np + nq - b) + 0.25 * b / np, 9) AS score FROM s WHERE b > 0)
         SELECT qid AS query_id, pid AS phrase_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS position FROM t QUALIFY position <= 5""",
     "neighbour_frame": "SELECT conv_id, turn, role FROM conversations QUALIFY max(CASE WHEN length(text) > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1",
     "overlapping_positions": """WITH x AS (SELECT doc_id, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = 'anan') AS pos FROM documents WHERE n_chars < 600)
