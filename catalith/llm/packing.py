@@ -14,10 +14,13 @@ repeated rows are packed like any other; an empty table gives no piece.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,31 +63,53 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder, self.known = Tokenizer.from_file(path), {}
+        vocab = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def _pack(self, words: list[bytes]) -> list[bytes]:
-        found = self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+        """Ids of each word. Words of letters alone are one symbol run each, so they are encoded as one text and cut where a run ends."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out: list = [None] * len(words)
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data, start = ids.tobytes(), 0
+                for i, end in zip(part, ends.tolist(), strict=True):
+                    out[i] = data[start:end]
+                    start = end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.encoder.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         docs = [self._words(t) for t in texts]
-        here = set().union(*docs)
+        words = list(itertools.chain.from_iterable(docs))
         known = self.known
-        missing = here - known.keys()
-        if len(known) + len(missing) > REMEMBERED:
+        if len(known) + len(words) > REMEMBERED:
             known.clear()
-            missing = here
+        parts = list(map(known.get, words))
+        gaps = [i for i, p in enumerate(parts) if p is None]
+        missing = {words[i] for i in gaps}
         cores = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in missing}
         cores = list(cores.union(self.stops) - known.keys())
         known.update(zip(cores, self._pack(cores), strict=True))
-        ended = [w for w in missing if w not in known]
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
-        out = [b"".join(map(known.__getitem__, words)) for words in docs]
+        for w in missing:
+            if w not in known:
+                known[w] = known[w[:-1]] + known[w[-1:]]
+        for i in gaps:
+            parts[i] = known[words[i]]
         for w in missing:
             if len(w) > LONG_WORD:
                 del known[w]
                 known.pop(w[:-1], None)
-        return out
+        ends = list(itertools.accumulate(map(len, docs)))
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _words(self, text: str) -> list[bytes]:
         """Words, with A-Z lower-cased as the tokenizer would, unless a special string may be in the text."""
@@ -92,6 +117,12 @@ class WordTokenizer:
         return (data if b"<|" in data else data.lower()).split()
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which serves many tasks and so keeps what it remembers."""
+    return WordTokenizer(path)
+
+
 class Packer:
     """Windows of one partition; pieces leave as tuples of _PIECE, with their ids while the window isn't final."""
 
@@ -166,7 +197,7 @@ def _table(rows: list, left: list, part: int) -> pa.RecordBatch:
 
 def _packed(path: str, window: int):
     def packed(batches):
-        part, tokens = TaskContext.get().partitionId(), WordTokenizer(path)
+        part, tokens = TaskContext.get().partitionId(), word_tokenizer(path)
         packer = Packer(part << 32, window)
         end = struct.pack("<I", END_ID)
         for batch in batches:
