@@ -68,8 +68,8 @@ def page(rows: DataFrame, order: list, number: int, size: int = 20) -> DataFrame
 
 
 def overall_state(stages: DataFrame, by: list[str], state: str) -> DataFrame:
-    """The state of each run from those of its stages: the gravest counts; all VERIFIED is VERIFIED, some is PARTIAL."""
+    """The state of each run from those of its stages: the gravest counts, then PARTIAL if one has not run, else VERIFIED."""
     has = lambda s: F.bool_or(F.col(state) == s)
-    flags = stages.groupBy(*by).agg(*[has(s).alias(s) for s in ("BLOCKED", "WITHHELD", "REVIEW")], F.bool_and(F.col(state) == "VERIFIED").alias("VERIFIED"))
-    out = F.when(F.col("BLOCKED"), "BLOCKED").when(F.col("WITHHELD"), "WITHHELD").when(F.col("REVIEW"), "REVIEW").when(~F.col("VERIFIED"), "PARTIAL").otherwise("VERIFIED")
+    flags = stages.groupBy(*by).agg(*[has(s).alias(s) for s in ("BLOCKED", "WITHHELD", "REVIEW", "NOT_RUN")])
+    out = F.when(F.col("BLOCKED"), "BLOCKED").when(F.col("WITHHELD"), "WITHHELD").when(F.col("REVIEW"), "REVIEW").when(F.col("NOT_RUN"), "PARTIAL").otherwise("VERIFIED")
     return flags.select(*by, out.alias("overall"))
