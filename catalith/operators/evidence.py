@@ -200,3 +200,46 @@ def numbered_trace(steps: Column) -> Column:
 
 def supporting_keys(own: Column, merged: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(own), F.coalesce(merged, F.array().cast("array<string>")))))
+
+
+VALUE_AUTHORITIES = ("ORGANIZER_EXAMPLE", "MANUFACTURER_EVIDENCE", "HUMAN_APPROVED")
+
+
+def licenses_value(e: Column) -> Column:
+    """Whether one piece of evidence (artifact, locator, verified) licenses a manufacturer's value."""
+    return e["artifact"].isNotNull() & e["locator"].isNotNull() & F.coalesce(e["verified"], F.lit(False))
+
+
+def has_value_authority(authority: Column, evidence: Column) -> Column:
+    """Known authority; a manufacturer's needs a licensing piece of evidence."""
+    return authority.isin(*VALUE_AUTHORITIES) & ((authority != "MANUFACTURER_EVIDENCE") | F.exists(F.coalesce(evidence, F.array().cast("array<struct<artifact:string,locator:string,verified:boolean>>")), licenses_value))
+
+
+def delivery_eligible(decision: Column, value: Column, uom_resolution: Column, authority: Column, evidence: Column) -> Column:
+    """Committed, with a value, a unit that is resolved or absent, and standing."""
+    return (decision == "COMMIT") & value.isNotNull() & (uom_resolution != "UNRESOLVED") & has_value_authority(authority, evidence)
+
+
+def eligible_evidence(scope: Column, covers: Column, anchor: Column) -> Column:
+    """Evidence about one exact product must cover the product asked for; wider scopes pass."""
+    return (scope != "EXACT_SKU") | F.coalesce(covers == anchor, F.lit(False))
+
+
+def value_present(text: Column, value: Column, uom: Column, structured: Column) -> Column:
+    """Whether bound text states a value: structured data without a unit must equal it, else it must occur, with its unit behind it if it has one."""
+    quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    beside = F.rlike(text, F.concat(quote(value), F.lit(r"\s+"), quote(F.coalesce(uom, F.lit("")))))
+    return F.when(structured & uom.isNull(), text == value).when(uom.isNull(), text.contains(value)).otherwise(text.contains(value) & beside)
+
+
+def schema_ordered(rows: DataFrame, positions: DataFrame, key: str) -> DataFrame:
+    """Adds place: rows in the order of a schema (key, position), unknown keys after it by name."""
+    w = Window.orderBy(F.coalesce("position", F.lit(2**31 - 1)), key)
+    named = rows.select(key).distinct().join(F.broadcast(positions.select(key, "position")), key, "left").withColumn("place", F.row_number().over(w))
+    return rows.join(F.broadcast(named.select(key, "place")), key)
+
+
+def preferred(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """The candidate that got furthest: ACQUIRED, then ELIGIBLE, then the first in position."""
+    rank = F.when(F.col("status") == "ACQUIRED", 0).when(F.col("status") == "ELIGIBLE", 1).otherwise(2)
+    return candidates.groupBy(*by).agg(F.min_by("candidate_id", F.struct(rank.alias("rank"), "position")).alias("candidate_id"))

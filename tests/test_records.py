@@ -54,3 +54,20 @@ def test_evidence_sums(spark):
     assert sorted(map(tuple, Q.case_problems(cases).collect())) == [("1", "EXACT_WITHOUT_NUMBER"), ("1", "FAMILY_IN_TWO_SPLITS"), ("2", "DUPLICATE_ID"), ("2", "FAMILY_IN_TWO_SPLITS"), ("2", "NUMBER_WITHOUT_EXACT")]
     cost = spark.createDataFrame([(1.0, "EUR"), (0.0, None), (None, "USD")], "c double, cur string")
     assert {r.currency: r.cost for r in Q.by_currency(cost, "c", "cur").collect()} == {"EUR": 1.0, "UNSPECIFIED": 0.0}
+
+
+def test_eligibility(spark):
+    df = spark.createDataFrame([(1, "COMMIT", "v", "NONE", "MANUFACTURER_EVIDENCE", [("a", "l", True)]), (2, "COMMIT", "v", "NONE", "MANUFACTURER_EVIDENCE", [("a", None, True)]), (3, "COMMIT", "v", "UNRESOLVED", "HUMAN_APPROVED", None), (4, "COMMIT", "v", "EXACT", "HUMAN_APPROVED", None), (5, "REVIEW", "v", "EXACT", "HUMAN_APPROVED", None), (6, "COMMIT", "v", "EXACT", "MODEL", None)], "i int, d string, v string, u string, a string, e array<struct<artifact:string,locator:string,verified:boolean>>")
+    c = F.col
+    assert {r.i for r in df.where(E.delivery_eligible(c("d"), c("v"), c("u"), c("a"), c("e"))).collect()} == {1, 4}
+    lit = F.lit
+    none = lit(None).cast("string")
+    assert one(spark, E.value_present(lit("80  mm wide"), lit("80"), lit("mm"), lit(False))) is True
+    assert one(spark, E.value_present(lit("80 cm"), lit("80"), lit("mm"), lit(False))) is False
+    assert one(spark, E.value_present(lit("80 "), lit("80"), none, lit(True))) is False
+    assert one(spark, E.eligible_evidence(lit("EXACT_SKU"), none, lit("M"))) is False
+    rows = spark.createDataFrame([("z",), ("b",), ("a",), ("q",)], "k string")
+    order = spark.createDataFrame([("b", 1), ("a", 2)], "k string, position int")
+    assert [r.k for r in E.schema_ordered(rows, order, "k").orderBy("place").collect()] == ["b", "a", "q", "z"]
+    cand = spark.createDataFrame([("p", 1, "REJECTED", 1), ("p", 2, "ELIGIBLE", 3), ("p", 3, "ELIGIBLE", 2)], "p string, candidate_id int, status string, position int")
+    assert E.preferred(cand, ["p"]).collect()[0].candidate_id == 3
