@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Only for sessions that name no shared folder (tests on one machine).
@@ -31,3 +32,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks

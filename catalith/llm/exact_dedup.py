@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle
+from catalith.llm.common import settle, slices
 
 #: Distinct fingerprints in one list; a partition with more sends several lists.
 LIST_ROWS = 1_000_000
@@ -63,7 +63,7 @@ def _normal(text: str | None) -> bytes:
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in slices(batches):
         digests = [hashlib.sha256(_normal(x)).digest() for x in batch.column("text").to_pylist()]
         fp = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d.hex() for d in digests], pa.string()), pa.array(fp)], ["doc_id", "text_sha256", "fp"])
@@ -146,7 +146,7 @@ def _norms(wanted):
 
 
 def _with_fp(batches):
-    for batch in batches:
+    for batch in slices(batches):
         fp = np.frombuffer(b"".join(hashlib.sha256(_normal(x)).digest()[:8] for x in batch.column("text").to_pylist()), ">u8").astype(np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(fp)], ["doc_id", "text", "fp"])
 

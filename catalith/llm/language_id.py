@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.common import slices
 from catalith.llm.hashing import char_counts
 
 BITS = 13
@@ -129,7 +130,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def judge(batches):
         judged = held.value.judge
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judged(t) for t in batch.column("text").to_pylist()]
             lang, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle
+from catalith.llm.common import settle, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -35,7 +35,7 @@ OPEN = 32
 #: Partitions whose last windows are merged in one task; each brings less than one window.
 GROUP = 64
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBERED, LONG_WORD = 1_000_000, 64
+REMEMBERED, LONG_WORD = 500_000, 64
 #: Characters tokenized in one go, about.
 CHUNK = 1 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -200,7 +200,7 @@ def _packed(path: str, window: int):
         part, tokens = TaskContext.get().partitionId(), word_tokenizer(path)
         packer = Packer(part << 32, window)
         end = struct.pack("<I", END_ID)
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             held, size = [], 0
             for i in range(len(doc_ids) + 1):

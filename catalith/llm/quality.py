@@ -19,9 +19,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.common import slices
 from catalith.llm.hashing import char_counts, sparse_unit, word_counts, word_hashes
 from catalith.llm.logistic import Rows, fit, platt, sigmoid
 
@@ -87,7 +89,7 @@ def fit_quality(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Qua
 
 
 def _featured(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         rows = [features(t, t.split()) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "idx", "val"])
@@ -104,8 +106,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityM
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     rows = texts.mapInArrow(_featured, "doc_id long, quality int, idx array<int>, val array<float>").toArrow()
     order = np.lexsort([rows["quality"].to_numpy(), rows["doc_id"].to_numpy()])
-    idx, val = rows["idx"].to_pylist(), rows["val"].to_pylist()
-    return fit_quality([(np.array(idx[i], np.int32), np.array(val[i], np.float32)) for i in order], rows["quality"].to_numpy()[order] > 0)
+    ends = np.cumsum(pc.list_value_length(rows["idx"]).to_numpy())
+    idx, val = (pc.list_flatten(rows[c]).to_numpy() for c in ("idx", "val"))
+    begins = np.concatenate([[0], ends[:-1]]).astype(int)
+    return fit_quality([(idx[begins[i] : ends[i]], val[begins[i] : ends[i]]) for i in order], rows["quality"].to_numpy()[order] > 0)
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -124,7 +128,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         return *counts, failed, p, not failed and (p is None or p >= KEEP_AT)
 
     def judged(batches):
-        for batch in batches:
+        for batch in slices(batches):
             cols = zip(*map(judge, batch.column("text").to_pylist()), strict=True) if batch.num_rows else [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
