@@ -24,13 +24,13 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle
+from catalith.llm.common import settle, slices
 from catalith.llm.components import components
 
 WORDS = 5
@@ -56,7 +56,7 @@ def bands_and_rows(threshold: float, recall: float, hashes: int) -> tuple[int, i
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -96,16 +96,47 @@ def _data(text: str | None) -> bytes:
 
 def _signed(bands: int, rows: int, n: int):
     def signed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = list(map(_data, batch.column("text").to_pylist()))
-            sets = [ngram_set(t, n) for t in texts]
             keys = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            sets = (ngram_set(t, n) for t in texts)
             hashes = pa.array([band_hashes(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, hashes], ["doc_id", "key", "bands"])
 
     return signed
 
 
+GROUP = ["hash", "low", "high"]
+
+
+def _by_group(handle):
+    """Arrow batches of rows sorted by GROUP to what handle makes of whole groups: (table, first rows of groups, their ends)."""
+
+    def cut(table: pa.Table) -> np.ndarray:
+        keys = [table.column(c).to_numpy() for c in GROUP]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return np.flatnonzero(new)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            starts = cut(table)
+            if len(starts) > 1:
+                yield from handle(table.slice(0, starts[-1]).combine_chunks(), starts[:-1], starts[1:]).to_batches()
+            held = table.slice(starts[-1]) if len(starts) else None
+        if held is not None and held.num_rows:
+            yield from handle(held.combine_chunks(), np.array([0]), np.array([held.num_rows])).to_batches()
+
+    return run
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The band hashes as rows."""
+    return pc.list_flatten(table.column("bands")).to_numpy().reshape(table.num_rows, -1)
+
+
 def _first_shared(bands: np.ndarray, at: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For rows left x right: whether band `at` is the first that the pair shares (it does share it)."""
     earlier = np.zeros((len(left), len(right)), bool)
@@ -118,18 +149,22 @@ def _sides(block: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(block == low), np.flatnonzero(block == high)
 
 
-def _pairs_due(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a pair of blocks: the rows with a pair that is due in this band."""
-    bands = np.stack(pdf["bands"].to_numpy())
-    at, low, high = (int(pdf[c].iloc[0]) for c in ("band", "low", "high"))
-    left, right = _sides(pdf["block"].to_numpy(), low, high)
-    due = _first_shared(bands, at, left, right)
-    if low == high:
-        np.fill_diagonal(due, False)
-    keep = np.zeros(len(pdf), bool)
-    keep[left[due.any(1)]] = True
-    keep[right[due.any(0)]] = True
-    return pdf.loc[keep, ["node", "hash", "band", "low", "high", "block", "bands"]]
+def _pairs_due(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """Of pairs of blocks: the rows with a pair that is due in this band. Groups of two are looked at all at once."""
+    bands, keep = _matrix(table), np.zeros(table.num_rows, bool)
+    at, low, high, block = (table.column(c).to_numpy() for c in ("band", "low", "high", "block"))
+    i = starts[ends - starts == 2]
+    earlier = ((bands[i] == bands[i + 1]) & (np.arange(bands.shape[1]) < at[i][:, None])).any(1)
+    due = i[~earlier & ((low[i] == high[i]) | (block[i] != block[i + 1]))]
+    keep[due] = keep[due + 1] = True
+    for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+        left, right = _sides(block[a:b], low[a], high[a])
+        due = _first_shared(bands[a:b], at[a], left, right)
+        if low[a] == high[a]:
+            np.fill_diagonal(due, False)
+        keep[a + left[due.any(1)]] = True
+        keep[a + right[due.any(0)]] = True
+    return table.filter(pa.array(keep))
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -155,26 +190,33 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def _verify(threshold: float):
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        bands, node = np.stack(pdf["bands"].to_numpy()), pdf["node"].to_numpy()
-        at, low, high = (int(pdf[c].iloc[0]) for c in ("band", "low", "high"))
-        left, right = _sides(pdf["block"].to_numpy(), low, high)
-        size = np.array(list(map(len, sets)), np.float32)
-        both = _overlaps(sets, left, right)
-        linked = both >= threshold * (size[left][:, None] + size[right][None] - both) - 1e-6
-        linked &= _first_shared(bands, at, left, right)
-        if low == high:
-            np.fill_diagonal(linked, False)
-        links = np.zeros(len(pdf), np.int64)
-        links[left] += linked.sum(1)
-        if low != high:
-            links[right] += linked.sum(0)
-        root = _roots(len(pdf), left, right, linked)
-        smallest = np.full(len(pdf), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, root, node)
-        some = links > 0
-        return pd.DataFrame({"node": node[some], "links": links[some], "root": smallest[root][some]})
+    def verify(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+        bands, nodes = _matrix(table), table.column("node").to_numpy()
+        at, lows, highs, block = (table.column(c).to_numpy() for c in ("band", "low", "high", "block"))
+        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        out = []
+        for a, b in zip(starts, ends, strict=True):
+            sets, node = grams[a:b], nodes[a:b]
+            left, right = _sides(block[a:b], lows[a], highs[a])
+            size = np.array(list(map(len, sets)), np.float32)
+            both = _overlaps(sets, left, right)
+            linked = both >= threshold * (size[left][:, None] + size[right][None] - both) - 1e-6
+            linked &= _first_shared(bands[a:b], at[a], left, right)
+            if lows[a] == highs[a]:
+                np.fill_diagonal(linked, False)
+            if not linked.any():
+                continue
+            links = np.zeros(b - a, np.int64)
+            links[left] += linked.sum(1)
+            if lows[a] != highs[a]:
+                links[right] += linked.sum(0)
+            root = _roots(b - a, left, right, linked)
+            smallest = np.full(b - a, np.iinfo(np.int64).max)
+            np.minimum.at(smallest, root, node)
+            some = links > 0
+            out.append((node[some], links[some], smallest[root][some]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+        return pa.table(dict(zip(("node", "links", "root"), cols, strict=True)))
 
     return verify
 
@@ -199,7 +241,7 @@ def _grams(n: int, wanted):
 
     def grams(batches):
         keep, seen = None if wanted is None else wanted.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, sets = [], []
             for text in batch.column("text").to_pylist():
                 data = _data(text)
@@ -207,8 +249,11 @@ def _grams(n: int, wanted):
                 head = int.from_bytes(key[:8], "big", signed=True)
                 if keep is not None:
                     i = np.searchsorted(keep, head)
-                    if i == len(keep) or keep[i] != head or key in seen:
+                    if i == len(keep) or keep[i] != head:
                         continue
+                if key in seen:
+                    continue
+                if len(seen) < 1_000_000:  # a hot text leaves a partition once; a few more copies do no harm
                     seen.add(key)
                 keys.append(key)
                 sets.append(ngram_set(data, n).tobytes())
@@ -258,7 +303,7 @@ def _links(docs: DataFrame, reps: DataFrame, threshold: float, n: int) -> DataFr
     met = entries.join(sizes, "hash").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("node", "hash", "band", "bands", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    group = ["hash", "low", "high"]
-    due = settle(met.groupBy(*group).applyInPandas(_pairs_due, "node long, hash long, band int, low int, high int, block int, bands array<long>"), "due")
+    grouped = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    due = settle(grouped(met).mapInArrow(_by_group(_pairs_due), met.schema), "due")
     sent = due.join(_sets_for(docs, due, reps, n), "node")
-    return sent.groupBy(*group).applyInPandas(_verify(threshold), "node long, links long, root long")
+    return grouped(sent).mapInArrow(_by_group(_verify(threshold)), "node long, links long, root long")

@@ -45,3 +45,10 @@ def test_against_brute_force(spark, rows):
 def test_suspects_by_join(spark, monkeypatch):
     monkeypatch.setattr(m, "BROADCAST_SUSPECTS", 0)
     assert run(spark, CASES) == brute(CASES)
+
+
+def test_whole_table(spark):
+    from catalith.llm.queries import ORACLE_SQL, op5_exact_dedup
+    from tests.llm.oracle import same
+
+    same(op5_exact_dedup(spark, "/root/testdata/sf0.01"), ORACLE_SQL["op5_exact_dedup"], "/root/testdata/sf0.01")

@@ -74,5 +74,6 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_whole_table(spark, small):
-    same(op9_ngram_join(spark, small), ORACLE_SQL["op9_ngram_join"], small)
+def test_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    same(op9_ngram_join(spark, folder), ORACLE_SQL["op9_ngram_join"], folder)
