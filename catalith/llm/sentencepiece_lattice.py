@@ -12,8 +12,9 @@ by word and folded with aggregate(), a Spark higher-order function:
   give wrong ids there. The lattice is the same for both.
 
 Characters that are no piece become byte pieces. Words of more than LONG_WORD
-characters are encoded whole by the library in Arrow batches; a fold over all their
-edges would take time in the square of their length.
+characters, and those without one character that is a piece, are encoded whole by the
+library in Arrow batches: a fold over all edges of a long word would take time in the
+square of its length.
 
 Texts meet the ids of their words by chunk: a chunk is a bounded number of distinct
 words of one partition, so neither a vocabulary nor a corpus is gathered anywhere.
@@ -36,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle
+from catalith.llm.common import settle, slices
 
 MARK = "▁"
 LONG_WORD = 60
 #: Distinct words and characters of text in a chunk, about.
-CHUNK_WORDS, CHUNK_CHARS = 400_000, 24_000_000
+CHUNK_WORDS, CHUNK_CHARS = 150_000, 8_000_000
 _WORD = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 
 
@@ -63,6 +64,7 @@ class Pieces:
         self.kind = {1: "unigram", 2: "bpe"}[model.trainer_spec.model_type]
         self.rows = [(p.piece, i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == 1]
         self.bytes = [i for i, p in enumerate(model.pieces) if p.type == 6]
+        self.single = frozenset(p for p, *_ in self.rows if len(p) == 1)
         self.longest = max(len(p) for p, *_ in self.rows)
         self.text = [p.piece.encode() if p.type == 1 else b"" for p in model.pieces]
         for b, i in enumerate(self.bytes):
@@ -81,13 +83,6 @@ def _pieces(path: str) -> Pieces:
 
 
 # --- lattice and fold -------------------------------------------------------------
-def _substrings(longest: int) -> Column:
-    """(p, q, s): the characters p to q of the column word, at most `longest` of them."""
-    n = F.length("word")
-    at = lambda p: F.transform(F.sequence(p + 1, F.least(p + longest, n)), lambda q: F.struct(p.alias("p"), q.alias("q"), F.substring("word", p + 1, q - p).alias("s")))
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))
-
-
 def _bits(p: Column, q: Column) -> Column:
     """Ones at positions p to q - 1."""
     one = F.lit(1).cast("long")
@@ -139,14 +134,15 @@ def _ids(edges: Column, mask: Column, n: Column, byte_ids: list[int]) -> Column:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words of at most LONG_WORD characters, in a column word."""
+    """(word, ids) of distinct words of at most LONG_WORD characters, each with a character that is a piece."""
     pieces = _pieces(path)
     n = F.length("word")
-    lattice = words.select("word", F.explode(_substrings(pieces.longest)).alias("e")).select("word", "e.p", "e.q", F.col("e.s").alias("piece"))
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
+    lattice = starts.select("word", "p", F.explode(F.sequence(F.col("p") + 1, F.least(F.col("p") + pieces.longest, n))).alias("q"))
+    lattice = lattice.select("word", "p", "q", F.substring("word", F.col("p") + 1, F.col("q") - F.col("p")).alias("piece"))
     edges = lattice.join(F.broadcast(pieces.frame(words.sparkSession)), "piece")
-    # Sorted as merges are taken: best score, then leftmost.
+    # Sorted as merges are taken: best score, then leftmost. The words were dealt by word already, so nothing moves here.
     edges = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), "p", "q", "id", "score"))).alias("edges"))
-    edges = words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<cost:double,p:int,q:int,id:int,score:double>>")))
     if pieces.kind == "bpe":
         mask = _merge_fold(F.col("edges"), n)
     else:
@@ -160,10 +156,10 @@ def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _chunks(stops: str):
+def _chunks(stops: str, single: frozenset):
     """Rows of texts (codes: numbers of their words) and of words (number, word), chunk by chunk."""
-    names = ["chunk", "doc_id", "codes", "crc", "idx", "word", "stop"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+    names = ["chunk", "doc_id", "codes", "crc", "idx", "word", "stop", "plain"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
 
     def rows(cols: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
@@ -172,13 +168,15 @@ def _chunks(stops: str):
         words = list(known)
         cut = [w[-1] if len(w) > 1 and w[-1] in stops and w[-2].isalpha() else None for w in words]
         cores = [w if s is None else w[:-1] for w, s in zip(words, cut, strict=True)]
+        plain = [len(w) <= LONG_WORD and not single.isdisjoint(w) for w in cores]
         for at in range(0, len(words), 50_000):
             part = slice(at, at + 50_000)
-            yield rows({"chunk": [chunk] * len(words[part]), "idx": list(range(at, at + len(words[part]))), "word": cores[part], "stop": cut[part]}, len(words[part]))
+            n = len(words[part])
+            yield rows({"chunk": [chunk] * n, "idx": list(range(at, at + n)), "word": cores[part], "stop": cut[part], "plain": plain[part]}, n)
 
     def chunks(batches):
         chunk, known, size = TaskContext.get().partitionId() << 24, {}, 0
-        for batch in batches:
+        for batch in slices(batches):
             out = {"chunk": [], "doc_id": [], "codes": [], "crc": []}
             finished = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -225,25 +223,19 @@ def _long_ids(path: str):
     return long_ids
 
 
-def _assembled(pieces: Pieces):
+def _assembled(text: list[bytes]):
     """Texts of a chunk from the ids of its words; ids are decoded again to compare with the text's CRC."""
-    text = pieces.text
 
-    def assembled(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        ids: list = [None] * (int(words["idx"].max()) + 1 if len(words) else 0)
-        for i, x in zip(words["idx"], words["ids"], strict=True):
-            ids[int(i)] = x
+    def assembled(docs: pa.Table, words: pa.Table) -> pa.Table:
+        ids: list = [b""] * words.num_rows
+        for i, x in zip(words.column("idx").to_pylist(), words.column("ids").to_pylist(), strict=True):
+            ids[i] = x
         out, same = [], []
-        for codes, crc in zip(docs["codes"], docs["crc"], strict=True):
-            if codes is None:
-                out.append(None)
-                same.append(None)
-                continue
-            parts = [ids[i] for i in _unpacked(codes).tolist()]
-            own = np.concatenate([np.frombuffer(p, np.int32) for p in parts]) if parts else np.empty(0, np.int32)
+        for codes, crc in zip(docs.column("codes").to_pylist(), docs.column("crc").to_pylist(), strict=True):
+            own = None if codes is None else np.frombuffer(b"".join([ids[i] for i in _unpacked(codes).tolist()]), np.int32)
             out.append(own)
-            same.append(zlib.crc32(_plain(text, own)) == crc)
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "ids": out, "round_trip": pd.array(same, "boolean")})
+            same.append(None if own is None else zlib.crc32(_plain(text, own)) == crc)
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())})
 
     return assembled
 
@@ -257,11 +249,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_file()
     pieces = _pieces(path)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = settle(docs.mapInArrow(_chunks("".join(pieces.stops)), "chunk long, doc_id long, codes binary, crc long, idx int, word string, stop string"), "chunks")
+    rows = settle(docs.mapInArrow(_chunks("".join(pieces.stops), pieces.single), "chunk long, doc_id long, codes binary, crc long, idx int, word string, stop string, plain boolean"), "chunks")
     words = rows.where("word IS NOT NULL").select("chunk", "idx", "word", "stop")
-    distinct = words.select("word").distinct()
-    short = encode_words(distinct.where(F.length("word") <= LONG_WORD), path)
-    long = distinct.where(F.length("word") > LONG_WORD).select("word", _long_ids(path)("word").alias("ids"))
+    short = encode_words(rows.where("plain").select("word").distinct(), path)
+    long = rows.where("NOT plain").select("word").distinct().select("word", _long_ids(path)("word").alias("ids"))
     known = settle(short.unionByName(long), "words")
     stop = F.lit(None).cast("int")
     for p, i, _ in pieces.rows:
@@ -275,7 +266,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     replies = words.join(known, "word").select(F.col("chunk").alias("of"), "idx", blob(full).alias("ids"))
     texts = rows.where("word IS NULL").select("chunk", "doc_id", "codes", "crc")
-    return texts.groupBy("chunk").cogroup(replies.groupBy("of")).applyInPandas(_assembled(pieces), "doc_id long, ids array<int>, round_trip boolean")
+    return texts.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(_assembled(pieces.text), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
