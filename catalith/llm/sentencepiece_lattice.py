@@ -43,6 +43,8 @@ MARK = "▁"
 LONG_WORD = 60
 #: Distinct words and characters of text in a chunk, about.
 CHUNK_WORDS, CHUNK_CHARS = 150_000, 8_000_000
+#: Words whose edges a task holds before it sorts instead.
+WORDS_IN_MEMORY = 150_000
 _WORD = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 
 
@@ -253,7 +255,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     words = rows.where("word IS NOT NULL").select("chunk", "idx", "word", "stop")
     short = encode_words(rows.where("plain").select("word").distinct(), path)
     long = rows.where("NOT plain").select("word").distinct().select("word", _long_ids(path)("word").alias("ids"))
-    known = settle(short.unionByName(long), "words")
+    # Edges of a word come together, so hash tables of this many words stay small; sorting them instead would spill.
+    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, WORDS_IN_MEMORY)
+    try:
+        known = settle(short.unionByName(long), "words")
+    finally:
+        conf.set(name, before)
     stop = F.lit(None).cast("int")
     for p, i, _ in pieces.rows:
         if p in pieces.stops:
