@@ -21,26 +21,26 @@ def integrity(pages: DataFrame, text: str, recorded: str) -> DataFrame:
     return pages.withColumn("status", F.when(F.col(recorded).isNull(), "MISSING_HASH").when(own != F.col(recorded), "HASH_DRIFT").otherwise("OK"))
 
 
-def locate_quotes(docs: DataFrame, quotes: DataFrame, text: str, quote: str, anchor: int = 24) -> DataFrame:
+def locate_quotes(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:
     """Pairs of a text and a quote that it holds, with the first place (1-based) and what surrounds it.
 
-    Quotes of `anchor` characters or more meet texts by an equi-join: the hash of their first
-    `anchor` characters against the hashes of all runs of that length in a text that start a
-    word. A shorter quote, or one that doesn't start with a letter or digit, has no such key;
-    those are compared with every text, a fixed, small list that is broadcast.
+    The second to fourth of a quote's space-separated words are whole words of any text that
+    holds it, so quotes of five words or more meet texts by an equi-join on the hash of those
+    three. Shorter quotes have no such key; they are compared with every text, as a broadcast.
+    Only ids and hashes are exploded; texts join the pairs that are left. Ids are unique.
     """
-    key_able = (F.length(quote) >= anchor) & F.rlike(F.col(quote), F.lit("^[A-Za-z0-9]"))
-    keyed = quotes.where(key_able).withColumn("_k", F.xxhash64(F.substring(quote, 1, anchor)))
-    n = F.length(text)
-    # Starts of words: the running lengths of the pieces before each boundary.
-    pieces = F.split(F.col(text), r"(?<![A-Za-z0-9])(?=[A-Za-z0-9])", -1)
-    starts = F.aggregate(pieces, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
-    runs = F.transform(F.filter(starts["all"], lambda i: i + anchor - 1 <= n), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(anchor))))
-    near = docs.withColumn("_k", F.explode(F.array_distinct(runs))).join(keyed, "_k").drop("_k")
-    far = docs.join(F.broadcast(quotes.where(~key_able)), F.col(text).contains(F.col(quote)))
-    found = near.where(F.col(text).contains(F.col(quote))).unionByName(far)
+    words = F.split(F.col(quote), " ")
+    keyable = F.size(words) >= 5
+    keyed = quotes.where(keyable).withColumn("_k", F.xxhash64(F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3))))
+    w = F.col("_w")
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    split = docs.select(id_col, F.split(F.col(text), " ").alias("_w")).where(F.size("_w") >= 3)
+    pairs = split.select(id_col, F.explode(F.array_distinct(runs)).alias("_k")).join(keyed.select(quote_id, "_k"), "_k").select(id_col, quote_id).distinct()
+    near = docs.join(pairs, id_col).join(quotes, quote_id).where(F.col(text).contains(F.col(quote)))
+    far = docs.join(F.broadcast(quotes.where(~keyable)), F.col(text).contains(F.col(quote)))
+    found = near.unionByName(far)
     found = found.withColumn("at", F.position(F.col(quote), F.col(text)))
-    return found.dropDuplicates([c for c in found.columns if c not in (text, quote)]).withColumn("context", excerpt(text, "at", 60, F.length(quote)))
+    return found.withColumn("context", excerpt(text, "at", 60, F.length(quote)))
 
 
 def lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ def artifact_ids(spark, sf_dir):
 
 def quote_location(spark, sf_dir):
     docs, quotes = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return D.locate_quotes(docs, quotes, "text", "quote").select("doc_id", "item_id", F.col("at").cast("long").alias("at"), F.sha2("context", 256).alias("context_sha"))
+    return D.locate_quotes(docs, quotes, "text", "quote", "doc_id", "item_id").select("doc_id", "item_id", F.col("at").cast("long").alias("at"), F.sha2("context", 256).alias("context_sha"))
 
 
 def line_units(spark, sf_dir):
@@ -43,7 +43,7 @@ def phrase_boundary(spark, sf_dir):
 
 
 def quantities(spark, sf_dir):
-    rows = V.quantities(read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[^\n]{0,40}[0-9]+[^\n]{0,40}", 0).alias("part")), "part")
+    rows = V.quantities(read(spark, sf_dir, "documents").select("doc_id", F.substring("text", F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9]")) - 40), F.lit(120)).alias("part")), "part")
     return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("number"), 3).alias("largest")).where("unit IS NULL OR length(unit) < 4")
 
 
