@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds spans they miss.
 
 The model reads overlapping windows around digits and `@` that no pattern span
-covers. Windows advance by half their length; each decides on the spans that start
-in its middle half (the first and last of a stretch also on its ends), and spans of
-one kind that overlap across windows become one. A span counts only if it is sound:
+covers. Neighbouring windows share as much as the longest sound span and a margin on
+either side, so each such span lies inside the margins of a window, which has it whole;
+spans that reach into a margin are left to the next window (the ends of a stretch have
+none). Of the spans of all windows, and the unions of those of one kind that overlap,
+the longest sound ones that are apart are taken. A span counts only if it is sound:
 an email has an `@` and a dotted host, an ip is an IPv6 address, a card passes Luhn
 over 12 to 19 digits, a phone has 9 to 15 digits in groups. Each of these needs nine
 digits, an `@` or two colons beside digits, so stretches with none of them are not
@@ -16,6 +18,7 @@ is handled like any other; repeated rows are judged apart, alike.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import ipaddress
@@ -41,6 +44,9 @@ _DIGITS = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
 #: Anchors this near to each other are read in one stretch, with as many characters on either side.
 REACH = 32
+#: The model reads READ characters at once and counts what lies MARGIN from either edge; the longest sound span has WINDOW.
+MARGIN, STEP = 24, WINDOW
+READ = STEP + WINDOW + 2 * MARGIN
 BATCH = 256
 
 
@@ -197,45 +203,59 @@ def stretches(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 
 def _windows(s: int, e: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, first, last): the window, and where spans that it decides on may start."""
-    half, quarter = WINDOW // 2, WINDOW // 4
-    starts = list(range(s, max(s + 1, e - half), half))
-    return [(a, min(a + WINDOW, e), s if i == 0 else a + quarter, e if i == len(starts) - 1 else a + half + quarter) for i, a in enumerate(starts)]
+    """(start, end, first, last): the window, and between which places its spans count."""
+    starts = list(range(s, max(s + 1, e - READ + STEP), STEP))
+    return [(a, min(a + READ, e), s if i == 0 else a + MARGIN, e if i == len(starts) - 1 else a + READ - MARGIN) for i, a in enumerate(starts)]
 
 
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """What the model adds to the base spans of each text."""
-    jobs = [(i, *w) for i, text in enumerate(texts) for s, e in stretches(text, bases[i]) for w in _windows(s, e)]
+    jobs: dict[int, list[tuple[int, int, int, int, int]]] = {}  # by padded width, which is a window's own: results don't hang on the batch
+    for i, text in enumerate(texts):
+        for s, e in stretches(text, bases[i]):
+            for w in _windows(s, e):
+                jobs.setdefault(max(WINDOW, -(-(w[1] - w[0]) // MARGIN) * MARGIN), []).append((i, *w))
     found: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        ids = np.full((len(part), WINDOW), PAD, np.int16)
-        for row, (i, a, b, *_) in zip(ids, part, strict=True):
-            row[: b - a] = char_ids(texts[i][a:b])
-        for (i, a, b, first, last), tags in zip(part, tagger.decode(ids), strict=True):
-            found[i] += [(int(k), a + s, min(a + e, b)) for k, s, e in spans_of(tags) if first <= a + s < last and a + s < b]
+    for width, own in jobs.items():
+        for at in range(0, len(own), BATCH):
+            part = own[at : at + BATCH]
+            ids = np.full((len(part), width), PAD, np.int16)
+            for row, (i, a, b, *_) in zip(ids, part, strict=True):
+                row[: b - a] = char_ids(texts[i][a:b])
+            for (i, a, b, first, last), tags in zip(part, tagger.decode(ids), strict=True):
+                found[i] += [(int(k), a + s, min(a + e, b)) for k, s, e in spans_of(tags) if first <= a + s < b and min(a + e, b) <= last]
     return [_reconciled(text, base, spans) if spans else [] for text, base, spans in zip(texts, bases, found, strict=True)]
 
 
 def _reconciled(text: str, base: list[Span], spans: list[Span]) -> list[Span]:
+    """The longest sound spans that touch neither each other nor a base span."""
     joined: list[list[int]] = []
+    last: dict[int, list[int]] = {}
     for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
-        if joined and s < joined[-1][2]:
-            if joined[-1][0] == k:
-                joined[-1][2] = max(e, joined[-1][2])
-            continue
-        joined.append([k, s, e])
+        if k in last and s < last[k][2]:
+            last[k][2] = max(e, last[k][2])
+        else:
+            last[k] = [k, s, e]
+            joined.append(last[k])
     taken = sorted((s, e) for _, s, e in base)
-    out, b = [], 0
-    for k, s, e in joined:
+    sane, b = set(), 0
+    for k, s, e in sorted({*spans, *map(tuple, joined)}, key=lambda x: x[1]):
         while s < e and text[s] in " \n,;:.":
             s += 1
         while e > s and text[e - 1] in " \n,;:.-":
             e -= 1
+        sane.add((k, s, e))
+    clear = []
+    for k, s, e in sorted(sane, key=lambda x: x[1]):
         while b < len(taken) and taken[b][1] <= s:
             b += 1
         if (b == len(taken) or taken[b][0] >= e) and s < e and sound(k, text[s:e]):
-            out.append((k, s, e))
+            clear.append((k, s, e))
+    out: list[Span] = []
+    for k, s, e in sorted(clear, key=lambda x: (x[1] - x[2], x[1], x[0])):
+        at = bisect.bisect_left(out, s, key=lambda x: x[1])
+        if (at == len(out) or out[at][1] >= e) and (at == 0 or out[at - 1][2] <= s):
+            out.insert(at, (k, s, e))
     return out
 
 

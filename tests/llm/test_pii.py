@@ -94,3 +94,40 @@ def test_edges_and_redaction(spark):
     assert masked[2].text.startswith("mail <EMAIL>, ") and "4111" not in masked[2].text
     assert m.redacted("ab+1 23", [(3, 2, 7), (2, 3, 5)]) == "ab<PHONE>"
     assert m.find_pii(df.limit(0)).collect() == []
+
+
+class ByShape:
+    """A tagger that tags each run without a space that has an @ or two colons, as far as it is in the window."""
+
+    def decode(self, ids):
+        at, colon, apart = (int(crf.char_ids(c)[0]) for c in "@: ")
+        tags = []
+        for row in ids.tolist():
+            out, i = [0] * len(row), 0
+            while i < len(row):
+                j = i
+                while j < len(row) and row[j] not in (apart, crf.PAD):
+                    j += 1
+                kind = 0 if at in row[i:j] else 1 if row[i:j].count(colon) > 1 else None
+                if kind is not None:
+                    out[i:j] = [1 + 2 * kind] + [2 + 2 * kind] * (j - i - 1)
+                i = j + 1
+            tags.append(out)
+        return crf.np.array(tags)
+
+
+IPV6 = "2001:0db8:85a3:08d3:1319:8a2e:0370:7348"
+EMAIL_60 = "jörg.van.der.lüne.bergmann.1234@große.müller.straße.beispiel"
+
+
+@pytest.mark.parametrize("value", [IPV6, EMAIL_60], ids=["ip 39", "email 60"])
+def test_spans_are_whole_at_every_place_of_a_window(value):
+    texts = [("7 tint re " * 60)[: 200 + shift] + " " + value + " " + "an be cor 4 " * 30 for shift in range(2 * crf.WINDOW)]
+    for t, added in zip(texts, m.added_spans(ByShape(), texts, [m.base_spans(t) for t in texts]), strict=True):
+        assert value in [t[s:e] for _, s, e in added]
+
+
+def test_the_model_finds_an_ipv6_address_at_every_place_of_a_window():
+    texts = [("7 tint re " * 60)[: 100 + shift] + " 2024-01-15 10:22:33 INFO conn from " + IPV6 + " an be cor 12 " * 8 for shift in range(crf.WINDOW)]
+    for t, added in zip(texts, m.added_spans(m.trained(), texts, [m.base_spans(t) for t in texts]), strict=True):
+        assert IPV6 in [t[s:e] for _, s, e in added]
