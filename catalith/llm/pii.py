@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds spans they miss.
 
-The model reads overlapping windows around digits and `@` that no pattern span
-covers. Neighbouring windows share as much as the longest sound span and a margin on
-either side, so each such span lies inside the margins of a window, which has it whole;
-spans that reach into a margin are left to the next window (the ends of a stretch have
-none). Of the spans of all windows, and the unions of those of one kind that overlap,
-the longest sound ones that are apart are taken. A span counts only if it is sound:
-an email has an `@` and a dotted host, an ip is an IPv6 address, a card passes Luhn
-over 12 to 19 digits, a phone has 9 to 15 digits in groups. Each of these needs nine
-digits, an `@` or two colons beside digits, so stretches with none of them are not
-read; that loses nothing. A span that touches a pattern span is left out.
+The model reads overlapping windows around digits, `@` and pairs of colons that no
+pattern span covers, as far on either side as the longest sound span. Neighbouring
+windows share as much as that span and a margin on either side, so each such span lies
+inside the margins of a window, which has it whole; spans that reach into a margin are
+left to the next window (the ends of a stretch have none). Of the spans of all windows,
+and the unions of those of one kind that overlap, the longest sound ones that are apart
+are taken. A span counts only if it is sound: an email has an `@` and a dotted host, an
+ip is an IPv6 address, a card passes Luhn over 12 to 19 digits, a phone has 9 to 15
+digits in groups; none is longer than 96 characters. Each needs nine digits, an `@` or
+two colons with at most four hexadecimal digits between them, so stretches with none of
+them are not read; that loses nothing. A span that touches a pattern span is left out.
 
 Training: windows with labelled spans that labelled_windows() makes by rule; once
 for each process. Defined results: a null text is empty; an empty or very long one
@@ -41,9 +42,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
-#: Anchors this near to each other are read in one stretch, with as many characters on either side.
-REACH = 32
+#: Every sound span holds one: an IPv6 address without a digit has `::`, or eight groups and so one between two colons.
+_ANCHOR = re.compile(r"[0-9@]|:(?=[0-9A-Fa-f]{0,4}:)")
+#: Anchors this near to each other are read in one stretch, with as many characters on either side: a sound span is no longer.
+REACH = WINDOW
 #: The model reads READ characters at once and counts what lies MARGIN from either edge; the longest sound span has WINDOW.
 MARGIN, STEP = 24, WINDOW
 READ = STEP + WINDOW + 2 * MARGIN

@@ -131,3 +131,19 @@ def test_the_model_finds_an_ipv6_address_at_every_place_of_a_window():
     texts = [("7 tint re " * 60)[: 100 + shift] + " 2024-01-15 10:22:33 INFO conn from " + IPV6 + " an be cor 12 " * 8 for shift in range(crf.WINDOW)]
     for t, added in zip(texts, m.added_spans(m.trained(), texts, [m.base_spans(t) for t in texts]), strict=True):
         assert IPV6 in [t[s:e] for _, s, e in added]
+
+
+EMAIL_96 = "ü" * 46 + "@" + "é" * 41 + ".example"
+
+
+@pytest.mark.parametrize("value", [EMAIL_96[8:], EMAIL_96, "dead:beef::cafe", "a:b:c:d:e:f:a:b"], ids=["email 88", "email 96", "ip ::", "ip in full"])
+def test_stretches_hold_every_sound_span(value):
+    assert any(m.sound(k, value) for k in range(4))
+    texts = [("tint re " * 60)[: 200 + shift] + " " + value + " " + "an be cor " * 30 for shift in range(2 * crf.WINDOW)] + [value]
+    for t, added in zip(texts, m.added_spans(ByShape(), texts, [m.base_spans(t) for t in texts]), strict=True):
+        assert [t[s:e] for _, s, e in added] == [value]
+
+
+def test_a_long_email_leaves_nothing_unmasked():
+    t = f"tint re {EMAIL_96} an be cor"
+    assert m.redacted(t, m.added_spans(ByShape(), [t], [m.base_spans(t)])[0]) == "tint re <EMAIL> an be cor"
