@@ -43,8 +43,8 @@ def phrase_boundary(spark, sf_dir):
 
 
 def quantities(spark, sf_dir):
-    rows = V.quantities(read(spark, sf_dir, "documents").select("doc_id", F.substring("text", F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9]")) - 40), F.lit(120)).alias("part")), "part")
-    return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("number"), 3).alias("largest")).where("unit IS NULL OR length(unit) < 4")
+    rows = V.quantities(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("number"), 3).alias("largest"))
 
 
 def value_parse(spark, sf_dir):
