@@ -106,7 +106,7 @@ class WordTokenizer:
             parts[i] = known[words[i]]
         for w in missing:
             if len(w) > LONG_WORD:
-                del known[w]
+                known.pop(w, None)  # gone already as the core of a longer one, perhaps
                 known.pop(w[:-1], None)
         ends = list(itertools.accumulate(map(len, docs)))
         return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]

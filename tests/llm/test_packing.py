@@ -1,3 +1,4 @@
+import itertools
 import struct
 import zlib
 from collections import defaultdict
@@ -60,3 +61,14 @@ def test_forgetting_words(monkeypatch):
     texts = ["a b c d e f g", "c d x y z", "a " + "q" * 80, "a b"]
     t = m.WordTokenizer(m.tokenizer_file())
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for x in texts for b in t.encode([x])] == [i[:-1] for i in ids_of(texts)]
+
+
+def test_long_words_that_are_another_and_one_byte_more():
+    t = m.WordTokenizer(m.tokenizer_file())
+    words = [f"https://example.com/{'path/' * 12}{i}?page=1" for i in range(40)]
+    for texts in ([w + end for w in words for end in ("", "2", ".")], [w + end for w in words for end in (".", "2", "")], ["".join(w) for i in range(40) for w in (("a" * 70 + str(i), "."), ("a" * 70 + str(i),))]):
+        got = t.encode([" ".join(texts)])
+        assert list(struct.unpack(f"<{len(got[0]) // 4}I", got[0])) == ids_of([" ".join(texts)])[0][:-1]
+        assert max(map(len, t.known)) <= m.LONG_WORD
+    for a, b in itertools.permutations(("x" * 65, "x" * 66, "x" * 67), 2):
+        assert len(t.encode([f"{a} {b}"])) == 1 and max(map(len, t.known)) <= m.LONG_WORD
