@@ -34,6 +34,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """settle(), in buckets by key: readers that group or cogroup by the key need no exchange.
+
+    The table has a name only until it is read back; its files are outside the
+    warehouse and stay.
+    """
+    spark = df.sparkSession
+    path, known_as = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}/{name}", f"catalith_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(known_as)
+    out = spark.table(known_as)
+    spark.sql(f"DROP TABLE {known_as}")
+    return out
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of few rows, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

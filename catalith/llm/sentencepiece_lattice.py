@@ -1,26 +1,36 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (a run of word-start marks and what follows up to the next mark or line end;
-no piece crosses these) are found once each. Every substring of a word, up to the
-longest piece, is exploded and equi-joined to the piece table; the edges are grouped
-by word and folded with aggregate(), a Spark higher-order function:
+A word (a run of word-start marks and what follows up to the next mark or line end)
+is cut into segments wherever no piece holds the two neighbouring characters, so no
+piece and no merge crosses a cut. Every substring of a segment, up to the longest
+piece, is exploded and equi-joined to the piece table; the edges are grouped by
+segment and folded with aggregate(), a Spark higher-order function:
 
 * a unigram model's fold is Viterbi: the best path score to each position in turn;
 * a BPE model's fold replays merges: of the edges that join two neighbouring symbols,
   the one with the best score (leftmost of equals) is taken until none is left. The
   best-scoring path of such a model isn't what its encoder returns, so Viterbi would
-  give wrong ids there. The lattice is the same for both.
+  give wrong ids there. The lattice is the same for both, but for pieces that no merge
+  can make and for single characters, which need no merge.
 
-Characters that are no piece become byte pieces. Words of more than LONG_WORD
-characters, and those without one character that is a piece, are encoded whole by the
-library in Arrow batches: a fold over all edges of a long word would take time in the
-square of its length.
+A piece is always made of the same two parts, those of its own merges: what is merged
+inside its span doesn't depend on what is around. If both parts rank before the piece,
+it can't be due before its turn and isn't late after it; so where all edges are such,
+one pass over the edges by rank replays all merges. Segments with a late edge take a pass
+for each merge.
 
-Texts meet the ids of their words by chunk: a chunk is a bounded number of distinct
-words of one partition, so neither a vocabulary nor a corpus is gathered anywhere.
+A character in no piece is a segment of its own and becomes byte pieces. Passes for each
+merge take time in the square of a segment's length; segments of more than LONG_SEGMENT
+characters are encoded by the library, in Arrow batches.
+
+The most frequent segments, HOT_SEGMENTS at most, are folded first and their ids sent
+to all tasks (a table of bounded size). The others are folded once for each chunk, a
+bounded part of one partition's texts. A chunk's texts (as numbers of segments) and
+its other segments lie in one bucket of a bucketed table, so texts meet the ids of their
+segments without an exchange, and no vocabulary or corpus is gathered anywhere.
 
 Defined results: a null text gives null ids, an empty one no ids; a null doc_id and
-repeated rows are encoded like any other.
+repeated rows are encoded like any other; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,22 +39,35 @@ import functools
 import itertools
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, slices
+from catalith.llm.common import settle, settle_buckets
 
 MARK = "▁"
-LONG_WORD = 60
-#: Distinct words and characters of text in a chunk, about.
-CHUNK_WORDS, CHUNK_CHARS = 150_000, 8_000_000
-#: Words whose edges a task holds before it sorts instead.
-WORDS_IN_MEMORY = 150_000
+#: Characters of a segment that one 64-bit mask holds (and its end), and that the fold takes at all.
+MASK_BITS, LONG_SEGMENT = 61, 255
+#: Segments whose ids are sent to all tasks at most; a word counts if a part of COUNTED_CHARS has it so often.
+HOT_SEGMENTS, HOT_TIMES = 400_000, 2
+#: Bytes of text that are cut into words at once, about, to count them and to code them.
+COUNTED_CHARS, CODED_CHARS = 12_000_000, 5_000_000
+#: Distinct segments outside the hot ones and characters of text in a chunk, about.
+CHUNK_WORDS, CHUNK_CHARS = 100_000, 16_000_000
+#: Segments whose edges a task holds before it sorts instead.
+SEGMENTS_IN_MEMORY = 250_000
+#: Codes put together at once.
+ASSEMBLED_CODES = 200_000
+#: A single character in the result of a BPE fold: this and its code point.
+CHARACTER = 1 << 24
+#: Codes: 256 bytes, then the hot segments, then those of the chunk; long segments of the chunk from here on.
+LONG_CODE = 1 << 31
 _WORD = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 
 
@@ -66,17 +89,51 @@ class Pieces:
         self.kind = {1: "unigram", 2: "bpe"}[model.trainer_spec.model_type]
         self.rows = [(p.piece, i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == 1]
         self.bytes = [i for i, p in enumerate(model.pieces) if p.type == 6]
-        self.single = frozenset(p for p, *_ in self.rows if len(p) == 1)
         self.longest = max(len(p) for p, *_ in self.rows)
         self.text = [p.piece.encode() if p.type == 1 else b"" for p in model.pieces]
         for b, i in enumerate(self.bytes):
             self.text[i] = bytes([b])
-        joined = set(itertools.chain.from_iterable(zip(p, p[1:], strict=False) for p, *_ in self.rows))
-        #: Stops that no piece joins to a letter before them; they are cut off words.
-        self.stops = [s for s in ",." if not any(b == s and a.isalpha() for a, b in joined)]
+        self.single = frozenset(p for p, *_ in self.rows if len(p) == 1)
+        if any(c not in self.single or c == "\n" for p, *_ in self.rows for c in p):
+            raise ValueError("a character of a piece is no piece itself, or a line end")
+        if self.longest >= 64 or len(model.pieces) >= 1 << 20:
+            raise ValueError("pieces of 64 characters or more, or over a million of them")
+        #: Characters that follow a character in a piece.
+        self.after: defaultdict[str, set] = defaultdict(set)
+        for p, *_ in self.rows:
+            for a, b in itertools.pairwise(p):
+                self.after[a].add(b)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
+        """(piece, id, score, rank, first, late): first is the length of the first part; rank 0 is the best score, equal scores have one rank; of BPE, pieces that merges make."""
+        rows = pd.DataFrame(self.rows, columns=["piece", "id", "score"])
+        rows["rank"] = rows["score"].rank(method="dense", ascending=False).astype("int64") - 1
+        rows["first"], rows["late"] = 0, False
+        if self.kind == "bpe":
+            rank = dict(zip(rows["piece"], rows["rank"], strict=True))
+            parts = [self._parts(p, rank) for p in rows["piece"]]
+            rows["late"] = [x is not None and any(len(a) > 1 and rank[a] >= rank[p] for a in x) for p, x in zip(rows["piece"], parts, strict=True)]
+            rows["first"] = [len(x[0]) if x else 0 for x in parts]
+            rows = rows[[x is not None for x in parts]]
+        return spark.createDataFrame(rows, "piece string, id long, score double, rank long, first int, late boolean")
+
+    @staticmethod
+    def _parts(piece: str, rank: dict[str, int]) -> tuple[str, ...] | None:
+        """The two parts of the merge that makes a piece (itself, for a character); None if its merges end elsewhere."""
+        symbols, parts = list(piece), (piece,)
+        while len(symbols) > 1:
+            due = [(rank[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(symbols)) if a + b in rank]
+            if not due:
+                return None
+            i = min(due)[1]
+            parts = tuple(symbols[i : i + 2])
+            symbols[i : i + 2] = ["".join(parts)]
+        return parts
+
+    def cut(self, word: str) -> list[str]:
+        after = self.after
+        at = [i for i, (a, b) in enumerate(itertools.pairwise(word), 1) if b not in after[a]]
+        return [word[a:b] for a, b in zip([0, *at], [*at, None], strict=True)] if at else [word]
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,205 +142,458 @@ def _pieces(path: str) -> Pieces:
 
 
 # --- lattice and fold -------------------------------------------------------------
-def _bits(p: Column, q: Column) -> Column:
-    """Ones at positions p to q - 1."""
-    one = F.lit(1).cast("long")
-    shift = lambda k: F.call_function("shiftleft", one, k)
-    return shift(q) - shift(p)
+# An edge of a BPE lattice is one long, so that edges sort as merges are taken: rank, first character, length, length of its first part, id.
+def _edge(rank: Column, p: Column, length: Column, first: Column, piece: Column) -> Column:
+    left = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
+    return left(rank, 40) + left(p, 32) + left(length, 26) + left(first, 20) + piece
+
+
+def _start(e: Column) -> Column:
+    return F.shiftright(e, 32).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _length(e: Column) -> Column:
+    return F.shiftright(e, 26).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _first(e: Column) -> Column:
+    return F.shiftright(e, 20).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bit(p: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), p)
+
+
+def _symbols(edges: Column, n: Column, whole, single) -> Column:
+    """Ids of the edges that are whole symbols, and characters that are, in order."""
+    at = lambda p, x: F.call_function("shiftleft", p.cast("long"), F.lit(32)) + x
+    wide = F.transform(F.filter(edges, lambda e: (_length(e) > 1) & whole(e)), lambda e: at(_start(e), e.bitwiseAND(F.lit((1 << 20) - 1))))
+    ones = F.transform(F.filter(F.sequence(F.lit(0), n - 1), single), lambda p: at(p, F.ascii(F.substring("segment", p + 1, F.lit(1))) + CHARACTER))
+    return F.transform(F.sort_array(F.concat(wide, ones)), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+
+
+def _span(mask: Column, e: Column) -> Column:
+    """The mask from the edge's first character to its end."""
+    return F.call_function("shiftright", mask, _start(e)).bitwiseAND(F.call_function("shiftleft", F.lit(2).cast("long"), _length(e)) - 1)
+
+
+def _masked(mask: Column, edges: Column, n: Column) -> Column:
+    """The symbols of a mask."""
+    whole = lambda e: _span(mask, e) == _bit(_length(e)) + 1
+    single = lambda p: F.call_function("shiftright", mask, p).bitwiseAND(F.lit(3)) == 3
+    return _symbols(edges, n, whole, single)
+
+
+def _due(mask: Column, e: Column) -> Column:
+    """Whether the edge's two parts are symbols."""
+    return _span(mask, e) == _bit(_first(e)) + _bit(_length(e)) + 1
+
+
+def _merged(mask: Column, e: Column) -> Column:
+    return mask - _bit(_start(e) + _first(e))
+
+
+def _pass_fold(edges: Column, n: Column) -> Column:
+    """Symbols after all merges, where no edge is late and the symbol starts, and the end, fit one mask."""
+    return F.aggregate(edges, _bit(n + 1) - 1, lambda mask, e: F.when(_due(mask, e), _merged(mask, e)).otherwise(mask), lambda mask: _masked(mask, edges, n))
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """A bit for each position at which a symbol starts, after all merges; edges are in order of merging."""
-    start = _bits(F.lit(0), n)
-    wide = F.filter(edges, lambda e: e["q"] - e["p"] > 1)
-    both = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e["p"]).bitwiseOR(F.when(e["q"] < n, F.call_function("shiftleft", F.lit(1).cast("long"), e["q"])).otherwise(F.lit(0).cast("long")))
-    ready = F.transform(wide, lambda e: F.struct(both(e).alias("ends"), _bits(e["p"] + 1, e["q"]).alias("inside")))
+    """The same with a pass for each merge, for any edges."""
+    # The accumulator carries the edges: an expression outside would be evaluated again at each step.
+    state = lambda mask, edges: F.struct(mask.alias("mask"), edges.alias("edges"))
 
-    def merge(mask: Column, _: Column) -> Column:
-        due = F.filter(ready, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(due, F.lit(0))["inside"])), mask)
+    def merge(acc: Column, _: Column) -> Column:
+        due = F.slice(F.filter(acc["edges"], lambda e: _due(acc["mask"], e)), 1, 1)
+        return state(F.coalesce(F.get(F.transform(due, lambda e: _merged(acc["mask"], e)), F.lit(0)), acc["mask"]), acc["edges"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, merge)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), state(_bit(n + 1) - 1, edges), merge, lambda acc: _masked(acc["mask"], edges, n))
 
 
-def _viterbi_fold(edges: Column, n: Column, unknown: float) -> Column:
-    """The same bits for the path of the best total score; a character that is no piece costs `unknown`."""
-    step = lambda score, mask: F.struct(score.alias("score"), mask.alias("mask"))
-    first = F.array(step(F.lit(0.0), F.lit(0).cast("long")))
+def _long_merge_fold(edges: Column, n: Column) -> Column:
+    """The same with an array of ones and zeros for the mask, for segments of any length."""
+    ready = F.transform(F.filter(edges, lambda e: _length(e) > 1), lambda e: F.struct(_start(e).alias("p"), _first(e).alias("first"), _length(e).alias("length")))
+    state = lambda starts, ready: F.struct(starts.alias("starts"), ready.alias("ready"))
+    ones = lambda starts, p, length: F.aggregate(F.slice(starts, p + 2, length - 1), F.lit(0), lambda a, x: a + x)
+    whole = lambda starts, p, length: (F.get(starts, p) == 1) & (F.get(starts, p + length) == 1)
+
+    def merge(acc: Column, _: Column) -> Column:
+        starts = acc["starts"]
+        due = F.filter(acc["ready"], lambda r: whole(starts, r["p"], r["length"]) & (F.get(starts, r["p"] + r["first"]) == 1) & (ones(starts, r["p"], r["length"]) == 1))
+        gone = lambda r: F.transform(starts, lambda x, i: F.when(i == r["p"] + r["first"], F.lit(0)).otherwise(x))
+        return state(F.coalesce(F.get(F.transform(F.slice(due, 1, 1), gone), F.lit(0)), starts), acc["ready"])
+
+    def finish(acc: Column) -> Column:
+        starts = acc["starts"]
+        return _symbols(edges, n, lambda e: whole(starts, _start(e), _length(e)) & (ones(starts, _start(e), _length(e)) == 0), lambda p: whole(starts, p, F.lit(1)))
+
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), state(F.array_repeat(F.lit(1), n + 1), ready), merge, finish)
 
-    def reach(paths: Column, q: Column) -> Column:
-        into = F.filter(edges, lambda e: e["q"] == q)
-        options = F.transform(into, lambda e: F.struct((F.get(paths, e["p"])["score"] + e["score"]).alias("score"), e["p"].alias("p")))
-        one = F.when(F.exists(into, lambda e: e["p"] == q - 1), F.array().cast("array<struct<score:double,p:int>>")).otherwise(F.array(F.struct((F.get(paths, q - 1)["score"] + unknown).alias("score"), (q - 1).alias("p"))))
-        best = F.array_max(F.concat(options, one))
-        return F.concat(paths, F.array(step(best["score"], F.get(paths, best["p"])["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), best["p"])))))
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, reach), -1)["mask"]
+def _viterbi_fold(edges: Column, n: Column) -> Column:
+    """Ids of the path of the best total score; of equal ones, that with the longer last piece. Every character is a piece."""
+    step = lambda score, p, i: F.struct(score.alias("score"), p.alias("p"), i.alias("id"))
+    none = step(F.lit(0.0), F.lit(0), F.lit(0))
 
+    def reach(paths: Column, q: Column) -> Column:
+        into = F.filter(edges, lambda e: e["q"] == q)
+        options = F.transform(into, lambda e: F.struct((F.get(paths, e["p"])["score"] + e["score"]).alias("score"), (-e["p"]).alias("back"), e["id"].cast("int").alias("id")))
+        best = F.array_max(options)
+        return F.concat(paths, F.transform(F.array(best), lambda b: step(b["score"], -b["back"], b["id"])))
 
-def _ids(edges: Column, mask: Column, n: Column, byte_ids: list[int]) -> Column:
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.bit_get(mask, p) == 1)
-    table = F.array(*map(F.lit, byte_ids))
+    def back(paths: Column) -> Column:
+        # From the end: the ids so far, and where the next piece to the left ends.
+        at = lambda acc: F.get(paths, acc["q"])
+        walk = lambda acc, _: F.when(acc["q"] == 0, acc).otherwise(F.struct(F.concat(F.array(at(acc)["id"]), acc["ids"]).alias("ids"), at(acc)["p"].alias("q")))
+        return F.aggregate(paths, F.struct(F.array().cast("array<int>").alias("ids"), n.alias("q")), walk)["ids"]
 
-    def piece(p: Column, i: Column) -> Column:
-        q = F.coalesce(F.get(starts, i + 1), n)
-        own = F.filter(edges, lambda e: (e["p"] == p) & (e["q"] == q))
-        code = F.hex(F.encode(F.substring("word", p + 1, q - p), "UTF-8"))
-        fallback = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.element_at(table, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).otherwise(fallback)
+    return F.aggregate(F.sequence(F.lit(1), n), F.array(none), reach, back)
 
-    return F.flatten(F.transform(starts, piece))
 
+def encode_segments(segments: DataFrame, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, segment, ids: of segments of 1 to LONG_SEGMENT characters, all of them pieces; (keys, segment) is distinct.
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words of at most LONG_WORD characters, each with a character that is a piece."""
+    Of a BPE model, ids has characters as CHARACTER and code point; see final_ids. The rows
+    are best dealt by a key, or by segment: then grouping their edges moves nothing.
+    """
     pieces = _pieces(path)
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
-    lattice = starts.select("word", "p", F.explode(F.sequence(F.col("p") + 1, F.least(F.col("p") + pieces.longest, n))).alias("q"))
-    lattice = lattice.select("word", "p", "q", F.substring("word", F.col("p") + 1, F.col("q") - F.col("p")).alias("piece"))
-    edges = lattice.join(F.broadcast(pieces.frame(words.sparkSession)), "piece")
-    # Sorted as merges are taken: best score, then leftmost. The words were dealt by word already, so nothing moves here.
-    edges = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), "p", "q", "id", "score"))).alias("edges"))
+    keys, n, p, q = (*keys, "segment"), F.length("segment"), F.col("p"), F.col("q")
+    if pieces.kind == "bpe":  # of single characters, the first will do: no segment is without an edge
+        starts, first = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), p + F.when(p == 0, 1).otherwise(2)
+    else:
+        starts, first = F.sequence(F.lit(0), n - 1), p + 1
+    lattice = segments.select(*keys, F.explode(starts).alias("p"))
+    lattice = lattice.select(*keys, "p", F.explode(F.sequence(first, F.least(p + pieces.longest, n))).alias("q"))
+    piece = F.coalesce(F.substring("segment", p + 1, q - p), F.lit(""))  # never null, which saves a filter that takes it twice
+    lattice = lattice.select(*keys, "p", "q", piece.alias("piece"))
+    edges = lattice.join(F.broadcast(pieces.frame(segments.sparkSession)), "piece")
+    edge = _edge(F.col("rank"), p, q - p, F.col("first"), F.col("id")) if pieces.kind == "bpe" else F.struct("p", "q", "id", "score")
+    edges = edges.select(*keys, edge.alias("edge"), "late").groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max("late").alias("late"))
+    own = F.col("edges")
     if pieces.kind == "bpe":
-        mask = _merge_fold(F.col("edges"), n)
+        ids = F.when(n > MASK_BITS, _long_merge_fold(own, n)).when(F.col("late"), _merge_fold(own, n)).otherwise(_pass_fold(own, n))
     else:
-        mask = _viterbi_fold(F.col("edges"), n, min(s for *_, s in pieces.rows) - 10.0)
-    edges = edges.withColumn("mask", mask)
-    return edges.select("word", _ids(F.col("edges"), F.col("mask"), n, pieces.bytes).alias("ids"))
+        ids = _viterbi_fold(own, n)
+    return edges.select(*keys, ids.alias("ids"))
 
 
-# --- texts ---------------------------------------------------------------------------
+@functools.lru_cache(maxsize=2)
+def _character_ids(path: str) -> np.ndarray:
+    out = np.zeros(0x110000, np.int32)
+    for p, i, _ in _pieces(path).rows:
+        if len(p) == 1:
+            out[ord(p)] = i
+    return out
+
+
+def final_ids(path: str, ids: np.ndarray) -> np.ndarray:
+    """ids with those of characters in the place of their code points."""
+    ids = ids.astype(np.int32)
+    at = ids >= CHARACTER
+    ids[at] = _character_ids(path)[ids[at] - CHARACTER]
+    return ids
+
+
+# --- segments ---------------------------------------------------------------------
 def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _chunks(stops: str, single: frozenset):
-    """Rows of texts (codes: numbers of their words) and of words (number, word), chunk by chunk."""
-    names = ["chunk", "doc_id", "codes", "crc", "idx", "word", "stop", "plain"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+def _parts(batches, chars: int):
+    """Arrow batches in parts of about so many bytes of text; a text is in one part."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)) + 1
+            yield batch.slice(at, upto - at)
+            at = min(upto, batch.num_rows)
+    pa.default_memory_pool().release_unused()
 
-    def rows(cols: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
-
-    def words_of(chunk: int, known: dict):
-        words = list(known)
-        cut = [w[-1] if len(w) > 1 and w[-1] in stops and w[-2].isalpha() else None for w in words]
-        cores = [w if s is None else w[:-1] for w, s in zip(words, cut, strict=True)]
-        plain = [len(w) <= LONG_WORD and not single.isdisjoint(w) for w in cores]
-        for at in range(0, len(words), 50_000):
-            part = slice(at, at + 50_000)
-            n = len(words[part])
-            yield rows({"chunk": [chunk] * n, "idx": list(range(at, at + n)), "word": cores[part], "stop": cut[part], "plain": plain[part]}, n)
 
-    def chunks(batches):
-        chunk, known, size = TaskContext.get().partitionId() << 24, {}, 0
-        for batch in slices(batches):
-            out = {"chunk": [], "doc_id": [], "codes": [], "crc": []}
-            finished = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if size >= CHUNK_CHARS or len(known) >= CHUNK_WORDS:
-                    finished.append((chunk, known))
-                    chunk, known, size = chunk + 1, {}, 0
-                codes = None
-                if text is not None:
-                    numbers = [known.setdefault(w, len(known)) for w in _WORD.findall(normal(text))]
-                    codes = _packed(numbers)
-                    size += len(text)
-                out["chunk"].append(chunk)
-                out["doc_id"].append(doc_id)
-                out["codes"].append(codes)
-                out["crc"].append(zlib.crc32((text or "").replace(MARK, " ").encode()))
-            yield rows(out, len(out["chunk"]))
-            for c, k in finished:
-                yield from words_of(c, k)
-        if known:
-            yield from words_of(chunk, known)
+def _counted(path: str):
+    """(segment, times) of words that a part has HOT_TIMES or more, and the characters read, under a null segment."""
 
-    return chunks
+    def counted(batches):
+        cut = _pieces(path).cut
+        for part in _parts(batches, COUNTED_CHARS):
+            text, out = part.column("text"), Counter()
+            found = pc.value_counts(pc.split_pattern(text, " ").flatten())
+            found = found.filter(pc.greater_equal(found.field("counts"), HOT_TIMES))
+            for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                for s in cut(MARK + w):
+                    if len(s) <= LONG_SEGMENT:
+                        out[s] += n
+            chars = pc.sum(pc.utf8_length(text)).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([*out, None], pa.string()), pa.array([*out.values(), chars], pa.int64())], ["segment", "times"])
 
+    return counted
 
-def _packed(numbers: list[int]) -> bytes:
-    """Numbers as three compressed byte planes."""
-    a = np.array(numbers, np.uint32)
-    return zlib.compress(b"".join((a >> np.uint32(s)).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)), 1)
 
+def _hot(docs: DataFrame, path: str) -> tuple[list[str], _Runs, int]:
+    """The hot segments, most frequent first, their ids, and the characters of all texts."""
+    pieces = _pieces(path)
+    counts = settle(docs.select("text").mapInArrow(_counted(path), "segment string, times long").groupBy("segment").agg(F.sum("times").alias("times")), "counts")
+    named = counts.where("segment IS NOT NULL")
+    # Times by steps of about a tenth: few rows at any size; the lowest step at which all from there on are few enough.
+    steps = named.groupBy(F.floor(F.log2("times") * 8).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("times")).orderBy(F.desc("step")).collect()
+    least, n = None, 0
+    for row in steps:
+        n += row.n
+        if n > HOT_SEGMENTS:
+            break
+        least = row.times
+    chars = counts.where("segment IS NULL").agg(F.sum("times")).first()[0] or 0
+    if least is None:
+        return [], _Runs(np.empty(0, np.int32), np.empty(0, np.int64)), chars
+    hot = named.where(F.col("times") >= least)
+    # Characters in no piece have their codes already; they are segments of one character.
+    known = hot.where((F.length("segment") > 1) | F.col("segment").isin(sorted(pieces.single)))
+    ids = encode_segments(known.select("segment").repartition("segment"), path)
+    rows = ids.join(hot, "segment").toArrow().sort_by([("times", "descending"), ("segment", "ascending")])
+    return rows.column("segment").to_pylist(), _runs_of(path, rows.column("ids")), chars
+
+
+class _Codes:
+    """The codes of words; the segments of a chunk that aren't hot are numbered as they come."""
+
+    def __init__(self, hot: list[str], pieces: Pieces):
+        self.pieces, self.first = pieces, 256 + len(hot)
+        # A hot segment with the mark before it is a whole word, and is found without the mark; the others are parts of words.
+        self.words = {s[1:]: 256 + i for i, s in enumerate(hot) if s[0] == MARK and MARK not in s[1:]}
+        self.hot = {s: 256 + i for i, s in enumerate(hot) if s[0] != MARK or MARK in s[1:]}
+        self.next_chunk()
+
+    def next_chunk(self) -> None:
+        self.rare: dict[str, int] = {}
+        self.long: dict[str, int] = {}
+
+    def segment(self, s: str) -> list[int]:
+        code = self.words.get(s[1:]) if s[0] == MARK else self.hot.get(s)
+        if code is None:
+            code = self.hot.get(s) or self.rare.get(s) or self.long.get(s)
+        if code is None:
+            if len(s) == 1 and s not in self.pieces.single:
+                return list(s.encode("utf-8", "replace"))
+            if len(s) <= LONG_SEGMENT:
+                code = self.rare[s] = self.first + len(self.rare)
+            else:
+                code = self.long[s] = LONG_CODE + len(self.long)
+        return [code]
+
+    def word(self, word: str) -> list[int]:
+        """What stands between two spaces, or from a line end on."""
+        core = self.words.get(word[:-1])
+        if core is not None and word[-1] not in self.pieces.after[word[-2:-1] or MARK]:
+            return [core, *self.segment(word[-1])]
+        return self.marked(word if word[0] == "\n" else MARK + word)
+
+    def marked(self, word: str) -> list[int]:
+        return [c for s in self.pieces.cut(word) for c in self.segment(s)]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Codes of each text (none of a null one)."""
+        own = pc.fill_null(texts, "")
+        texts = pc.replace_substring(own, "\n", " \n")  # a line's first word apart from the last one of the line before
+        # Runs of marks are words of their own kind, and an empty text has no word.
+        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        apart = pc.or_(runs, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ")
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        got = list(map(self.words.get, words))
+        missing = [i for i, c in enumerate(got) if c is None]
+        more = [self.word(words[i]) if words[i] else [] for i in missing]
+        for i in missing:
+            got[i] = 0
+        lengths, starts = np.ones(len(got), np.int64), np.arange(len(got))
+        lengths[missing] = list(map(len, more))
+        starts[missing] = len(got) + np.cumsum(lengths[missing]) - lengths[missing]
+        runs = _Runs(np.array([*got, *itertools.chain.from_iterable(more)], np.uint32), lengths, starts)
+        at = found.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = np.split(runs.of(at), ends[1:-1])
+        for i in np.flatnonzero(apart):
+            out[i] = np.array([c for w in _WORD.findall(normal(own[i].as_py())) for c in self.marked(w)], np.uint32)
+        return out
+
+
+_CODES: dict = {}
+
+
+def _codes(hot, path: str) -> _Codes:
+    """One for each Python worker and run, which serves many tasks."""
+    if hot.value is not _CODES.get("names"):
+        _CODES.clear()
+        _CODES.update(names=hot.value, codes=_Codes(hot.value, _pieces(path)))
+    codes = _CODES["codes"]
+    codes.next_chunk()
+    return codes
+
+
+_ROWS = "chunk long, doc_id long, codes binary, crc long, first int, segments string, long string"
+
+
+def _chunks(path: str, hot):
+    """Rows of texts (their codes as byte planes) and of segments (lists, and long ones one by one), chunk by chunk."""
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+
+    def rows(cols: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([(cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], k)) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def segments(chunk: int, codes: _Codes):
+        rare, long = list(codes.rare), list(codes.long)
+        at = list(range(0, len(rare), 2000))
+        if at:
+            yield rows({"chunk": [chunk] * len(at), "first": at, "segments": ["\n".join(rare[i : i + 2000]) for i in at]}, len(at))
+        for i, s in enumerate(long):
+            yield rows({"chunk": [chunk], "first": [i], "long": [s]}, 1)
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    a = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).astype(np.uint32)
-    return a[0] | a[1] << 8 | a[2] << 16 | a[3] << 24
+    def chunks(batches):
+        chunk, size, codes = TaskContext.get().partitionId() << 24, 0, _codes(hot, path)
+        for part in _parts(batches, CODED_CHARS):
+            if size >= CHUNK_CHARS or len(codes.rare) >= CHUNK_WORDS:
+                yield from segments(chunk, codes)
+                codes.next_chunk()
+                chunk, size = chunk + 1, 0
+            own = codes.of(part.column("text"))
+            texts = part.column("text").to_pylist()
+            size += sum(len(t or "") for t in texts)
+            yield rows(
+                {
+                    "chunk": [chunk] * len(texts),
+                    "doc_id": part.column("doc_id"),
+                    "codes": [None if t is None else c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for t, c in zip(texts, own, strict=True)],
+                    "crc": [zlib.crc32((t or "").replace(MARK, " ").encode()) for t in texts],
+                },
+                len(texts),
+            )
+        yield from segments(chunk, codes)
+
+    return chunks
 
 
 def _long_ids(path: str):
     @F.pandas_udf("array<int>")
-    def long_ids(words: pd.Series) -> pd.Series:
+    def long_ids(segments: pd.Series) -> pd.Series:
         import sentencepiece
 
         encoder = sentencepiece.SentencePieceProcessor(model_file=path)
-        return pd.Series([encoder.encode("\n" + w)[2:] for w in words])  # without the mark and the line end before it
+        return pd.Series([encoder.encode("\n" + s)[2:] for s in segments])  # without the mark and the line end before it
 
     return long_ids
 
 
-def _assembled(text: list[bytes]):
-    """Texts of a chunk from the ids of its words; ids are decoded again to compare with the text's CRC."""
+# --- texts ---------------------------------------------------------------------------
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start to start + length - 1 of each, one after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
-    def assembled(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids: list = [b""] * words.num_rows
-        for i, x in zip(words.column("idx").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            ids[i] = x
-        out, same = [], []
-        for codes, crc in zip(docs.column("codes").to_pylist(), docs.column("crc").to_pylist(), strict=True):
-            own = None if codes is None else np.frombuffer(b"".join([ids[i] for i in _unpacked(codes).tolist()]), np.int32)
-            out.append(own)
-            same.append(None if own is None else zlib.crc32(_plain(text, own)) == crc)
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())})
 
-    return assembled
+class _Runs:
+    """Runs of values, by number."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None):
+        self.values, self.lengths, self.starts = values, lengths, np.cumsum(lengths) - lengths if starts is None else starts
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.values[_spread(self.starts[numbers], self.lengths[numbers])]
+
+    def then(self, other: _Runs) -> _Runs:
+        starts = np.concatenate([self.starts, other.starts + len(self.values)])
+        return _Runs(np.concatenate([self.values, other.values]), np.concatenate([self.lengths, other.lengths]), starts)
 
 
-def _plain(text: list[bytes], ids) -> bytes:
-    return b"".join([text[i] for i in ids.tolist()]).replace(MARK.encode(), b" ")[1:]
+def _runs(parts: list, dtype) -> _Runs:
+    return _Runs(np.concatenate([np.empty(0, dtype), *parts]).astype(dtype), np.array(list(map(len, parts)), np.int64))
+
+
+def _runs_of(path: str, ids: pa.ChunkedArray, order: np.ndarray | None = None) -> _Runs:
+    """Of a list column, in the order given."""
+    ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], ids.type)
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    runs = _Runs(final_ids(path, ids.values.to_numpy()), np.diff(ends), ends[:-1])
+    return runs if order is None else _Runs(runs.values, runs.lengths[order], runs.starts[order])
+
+
+@functools.lru_cache(maxsize=2)
+def _piece_bytes(path: str) -> _Runs:
+    return _runs([np.frombuffer(t, np.uint8) for t in _pieces(path).text], np.uint8)
+
+
+def _decoded(path: str, ids: np.ndarray) -> bytes:
+    return _piece_bytes(path).of(ids).tobytes().replace(MARK.encode(), b" ")[1:]
+
+
+def _assembled(path: str, hot):
+    """Texts of a chunk from the ids of its segments; ids are decoded again to compare with the text's CRC."""
+
+    def own(segments: pa.Table, long: bool) -> _Runs:
+        part = segments.filter(pa.array(segments.column("long").to_numpy(zero_copy_only=False) == long))
+        return _runs_of(path, part.column("ids"), np.argsort(part.column("idx").to_numpy()))
+
+    def codes_of(planes: bytes | None, first_long: int) -> np.ndarray:
+        codes = np.ascontiguousarray(np.frombuffer(planes or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        return np.where(codes >= LONG_CODE, codes - LONG_CODE + first_long, codes)
+
+    def part(docs: pa.Table, codes: list[np.ndarray], runs: _Runs) -> pa.Table:
+        ends = np.cumsum([0, *map(len, codes)])
+        codes = np.concatenate(codes)
+        ids, sums = runs.of(codes), np.concatenate([[0], np.cumsum(runs.lengths[codes])])[ends]
+        pieces = _piece_bytes(path)
+        data, cuts = pieces.of(ids).tobytes(), np.concatenate([[0], np.cumsum(pieces.lengths[ids])])[sums].tolist()
+        plain = [zlib.crc32(data[a:b].replace(MARK.encode(), b" ")[1:]) for a, b in itertools.pairwise(cuts)]
+        null = docs.column("codes").is_null().to_numpy(zero_copy_only=False)
+        same = pa.array(np.array(plain) == docs.column("crc").to_numpy(), mask=null)
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pa.array(ids), mask=pa.array(null)), "round_trip": same})
+
+    def assembled(docs: pa.Table, segments: pa.Table) -> pa.Table:
+        short = hot.value.then(own(segments, False))
+        runs, out = short.then(own(segments, True)), []
+        at, size, held = 0, 0, []
+        for i, planes in enumerate(docs.column("codes")):
+            held.append(codes_of(planes.as_py(), len(short.lengths)))
+            size += len(held[-1])
+            if size >= ASSEMBLED_CODES or i + 1 == docs.num_rows:
+                out.append(part(docs.slice(at, len(held)), held, runs))
+                at, size, held = i + 1, 0, []
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
+
+    return assembled
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, round_trip), a row for each row of docs; round_trip: whether the ids decode to the text."""
     path = path or model_file()
-    pieces = _pieces(path)
+    pieces, spark = _pieces(path), docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = settle(docs.mapInArrow(_chunks("".join(pieces.stops), pieces.single), "chunk long, doc_id long, codes binary, crc long, idx int, word string, stop string, plain boolean"), "chunks")
-    words = rows.where("word IS NOT NULL").select("chunk", "idx", "word", "stop")
-    short = encode_words(rows.where("plain").select("word").distinct(), path)
-    long = rows.where("NOT plain").select("word").distinct().select("word", _long_ids(path)("word").alias("ids"))
-    # Edges of a word come together, so hash tables of this many words stay small; sorting them instead would spill.
-    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    # Edges of a segment come together, so hash tables of this many segments stay small; sorting them instead would spill.
+    conf, name = spark.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(name)
-    conf.set(name, WORDS_IN_MEMORY)
+    conf.set(name, SEGMENTS_IN_MEMORY)
     try:
-        known = settle(short.unionByName(long), "words")
+        names, hot_ids, chars = _hot(docs, path)
+        send = spark.sparkContext.broadcast
+        buckets = min(max(2 * chars // CHUNK_CHARS, int(conf.get("spark.sql.shuffle.partitions"))), 100_000)
+        rows = settle_buckets(docs.mapInArrow(_chunks(path, send(names)), _ROWS), "chunks", "chunk", buckets)
+        short = rows.where("segments IS NOT NULL").select("chunk", "first", F.posexplode(F.split("segments", "\n")).alias("at", "segment"))
+        short = encode_segments(short.select("chunk", (F.col("first") + F.col("at")).alias("idx"), "segment"), path, ("chunk", "idx"))
+        long = rows.where("long IS NOT NULL").select("chunk", F.col("first").alias("idx"), _long_ids(path)("long").alias("ids"), F.lit(True).alias("long"))
+        known = settle_buckets(short.select("chunk", "idx", "ids", F.lit(False).alias("long")).unionByName(long), "segments", "chunk", buckets)
     finally:
         conf.set(name, before)
-    stop = F.lit(None).cast("int")
-    for p, i, _ in pieces.rows:
-        if p in pieces.stops:
-            stop = F.when(F.col("stop") == p, F.lit(i)).otherwise(stop)
-    full = F.when(F.col("stop").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array(stop)))
-
-    @F.pandas_udf("binary")
-    def blob(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: np.asarray(x, np.int32).tobytes())
-
-    replies = words.join(known, "word").select(F.col("chunk").alias("of"), "idx", blob(full).alias("ids"))
-    texts = rows.where("word IS NULL").select("chunk", "doc_id", "codes", "crc")
-    return texts.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(_assembled(pieces.text), "doc_id long, ids array<int>, round_trip boolean")
+    hot = _runs([np.array([i]) for i in pieces.bytes], np.int32).then(hot_ids)
+    texts = rows.where("crc IS NOT NULL").select("chunk", "doc_id", "codes", "crc")
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_assembled(path, send(hot)), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with a column decoded: the text of its ids (null for null); bytes that aren't UTF-8 become U+FFFD."""
-    text = _pieces(path or model_file()).text
+    path = path or model_file()
 
     @F.pandas_udf("string")
     def plain(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else _plain(text, x).decode("utf-8", "replace"))
+        return ids.map(lambda x: None if x is None else _decoded(path, np.array(x, np.int64)).decode("utf-8", "replace"))
 
     return encoded.withColumn("decoded", plain("ids"))

@@ -57,3 +57,13 @@ def test_whole_table(spark, small):
     out = {r.doc_id: r for r in op1_sentencepiece(spark, small).collect()}
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     assert len(out) == len(docs) and all(out[d.doc_id].ids == sp.encode(d.text) and out[d.doc_id].round_trip for d in docs)
+
+
+def test_hot_and_long_segments(spark, monkeypatch):
+    """Segments that fit one mask, an array, or neither; hot, rare, and hot ones beyond the table's bound."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=m.model_file())
+    long = [("ab" * 90)[:n] + "the" * k for n, k in ((58, 1), (60, 1), (61, 3), (120, 5), (150, 60))]
+    texts = [f"the and then {'rare' * (i % 3)}{i} {long[i % 5]} 日本   {'e' * (i * 9)}" for i in range(30)] + ["the end, the end. " * 20] * 3
+    for most in (400_000, 5, 0):
+        monkeypatch.setattr(m, "HOT_SEGMENTS", most)
+        assert {r.doc_id: r.ids for r in run(spark, list(enumerate(texts))).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
