@@ -38,15 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the smallest doc_id of each linked group stays.
+    """N-gram Jaccard join: of each linked group one row stays, that of the smallest doc_id (a null one is the largest).
 
-    Documents with a null doc_id have no id to be told apart by; they stay.
+    Rows are told apart by a number of their own: of rows that repeat a doc_id, each is
+    judged by its text, and of rows that repeat a doc_id and a text, one stays.
     """
-    docs = docs.select(*DOC_COLUMNS)
-    gone = settle(jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    rows = settle(docs.select(*DOC_COLUMNS).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    classes = jaccard_classes(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "class_id")
+    members = settle(classes.join(rows.select("rid", "doc_id"), "rid"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
+    firsts = members.groupBy("class_id").agg(F.min(place)["rid"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id", "first")
+    gone = settle(members.join(firsts, "class_id").where("rid <> first").select("rid"), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*DOC_COLUMNS)
+    return rows.join(gone, "rid", "left_anti").select(*DOC_COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
