@@ -74,3 +74,14 @@ def test_odd_documents(spark):
     for _, stage in p.STAGES:
         docs = p.settle(stage(spark, docs, ""), "none")
     assert docs.count() == 0
+
+
+def test_near_copies_tell_rows_apart(spark):
+    """Repeated doc_ids: no text that is alone goes; of copies, and of exact repeats, one row stays."""
+    text = lambda k: " ".join(f"w{zlib.crc32(f'{k}-{i}'.encode()) % 9973}" for i in range(60))
+    rows = [(1, text(1), "en", "s", 1), (2, text(1), "en", "s", 1), (2, text(2), "en", "s", 1), (3, text(3), "en", "s", 1), (3, text(3), "en", "s", 1), (4, text(4), "en", "s", 1), (4, text(4) + " end", "en", "s", 2), (None, text(1), "en", "s", 1), (None, text(5), "en", "s", 1), (5, None, None, None, None), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in p.near_copies(spark, docs, "").collect())
+    fours = [t for i, t in kept if i == 4]
+    assert [k for k in kept if k[0] != 4] == sorted([(0, text(5)), (1, text(1)), (2, text(2)), (3, text(3)), (5, "")])
+    assert len(fours) == 1 and fours[0].startswith(text(4))
