@@ -56,10 +56,18 @@ def neighbours(rows: DataFrame, by: list[str], order: str, flag: Column, reach:
     return rows.withColumn("near", F.max(flag.cast("int")).over(frame)).where("near = 1").drop("near")
 
 
-def all_positions(text: Column, needle: Column) -> Column:
-    """Every 1-based place of needle, overlapping ones too."""
-    n = F.length(text) - F.length(needle) + 1
-    return F.when(n >= 1, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.length(needle)) == needle)).otherwise(F.array().cast("array<int>"))
+def all_positions(text: Column, needle: str) -> Column:
+    """Every 1-based place of needle, overlapping ones too; null for a null text, none for an empty needle.
+
+    The text is cut before each place, so that each part but the first starts at one.
+    """
+    if not needle:
+        return F.when(text.isNotNull(), F.array().cast("array<int>"))
+    quoted = needle.replace("\\E", "\\E\\\\E\\Q")
+    parts = F.split(text, f"(?=\\Q{quoted}\\E)", -1)
+    state = lambda at, places: F.struct(at.alias("at"), places.alias("places"))
+    add = lambda acc, part: state(acc["at"] + F.length(part), F.when((acc["at"] > 1) | text.startswith(needle), F.concat(acc["places"], F.array(acc["at"]))).otherwise(acc["places"]))
+    return F.aggregate(parts, state(F.lit(1), F.array().cast("array<int>")), add, lambda acc: acc["places"])
 
 
 def phrase_search(phrases: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:

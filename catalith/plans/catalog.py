@@ -165,8 +165,7 @@ def brand_source_patterns(spark, sf_dir):
 
 def one_row_per_manufacturer(spark, sf_dir):
     rows = C.parse_manufacturer(catalogue(spark, sf_dir)).where("manuf_name IS NOT NULL").withColumn("key", F.lower("manuf_name"))
-    first = C.first_per(rows, ["key"], ["row_number"]).select("row_number", "manuf_name", "Mfg_Part_Num")
-    return first.orderBy("row_number").limit(50)
+    return C.first_per(rows, ["key"], ["row_number"]).select("row_number", "manuf_name", "Mfg_Part_Num")
 
 
 def sample_mpns(spark, sf_dir):
@@ -244,7 +243,7 @@ ORACLE_SQL = {
     "row_validation": "SELECT p_partkey AS row_number, concat_ws(',', CASE WHEN same > 1 THEN 'DUPLICATE_MPN' END, CASE WHEN p_partkey % 10 = 0 THEN 'BLANK_BRAND' END) AS issues, same FROM (SELECT p_partkey, count(*) OVER (PARTITION BY upper(p_name)) AS same FROM part)",
     "name_code_cardinality": f"{_WITH}, {_MANUF} SELECT substr(manuf_name, 1, 12) AS name, count(DISTINCT manuf_code) AS codes, count(*) AS n FROM manufs WHERE manuf_status = 'NAME_WITH_CODE' GROUP BY 1 HAVING codes > 1",
     "brand_source_patterns": f"{_WITH} SELECT concat_ws('+', CASE WHEN {_USABLE('e1')} IS NOT NULL THEN 'E1_Brand' END, CASE WHEN {_USABLE('uni')} IS NOT NULL THEN 'Unilog_Brand' END, CASE WHEN {_USABLE('dib')} IS NOT NULL THEN 'DIB_Brand' END) AS pattern, count(*) AS n FROM cat GROUP BY 1",
-    "one_row_per_manufacturer": f"{_WITH}, {_MANUF} SELECT row_number, manuf_name, mpn AS \"Mfg_Part_Num\" FROM manufs JOIN cat USING (row_number) WHERE manuf_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(manuf_name) ORDER BY row_number) = 1 ORDER BY row_number LIMIT 50",
+    "one_row_per_manufacturer": f"{_WITH}, {_MANUF} SELECT row_number, manuf_name, mpn AS \"Mfg_Part_Num\" FROM manufs JOIN cat USING (row_number) WHERE manuf_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(manuf_name) ORDER BY row_number) = 1",
     "sample_mpns": f"{_WITH}, {_MANUF} SELECT manuf_code, count(*) AS n, max_by(manuf_name, row_number) AS last_name, array_to_string(list(mpn ORDER BY row_number)[1:5], ',') AS samples FROM manufs JOIN cat USING (row_number) WHERE manuf_code IS NOT NULL GROUP BY 1",
     "query_builder": f"""{_WITH}, {_MANUF}, q AS (SELECT row_number, list_concat(CASE WHEN row_number % 2 = 0 THEN [concat('site:', lower(manuf_code), '.example.com "', mpn, '"'), concat('site:', lower(manuf_code), '.example.org "', mpn, '"')] ELSE [] END,
         [concat('"', manuf_name, '" "', mpn, '"'), concat('"', mpn, '" datasheet'), concat('"', p_brand, '" "', mpn, '"')])[1:4] AS q FROM manufs JOIN cat USING (row_number) WHERE manuf_name IS NOT NULL)

@@ -33,7 +33,7 @@ def quote_location(spark, sf_dir):
 
 
 def line_units(spark, sf_dir):
-    rows = D.lines(read(spark, sf_dir, "documents"), "text", "doc_id").where(F.col("line").contains("icense"))
+    rows = D.lines(read(spark, sf_dir, "documents"), "text", "doc_id")
     return rows.select("doc_id", F.col("ln").cast("long").alias("ln"), F.col("start").cast("long").alias("start"), "line")
 
 
@@ -67,7 +67,7 @@ def value_parse(spark, sf_dir):
 
 
 def redact_secrets(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.rlike("text", F.lit("password=|token")))
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(H.redact_text("text"), 256).alias("sha"), F.contains(H.redact_text("text"), F.lit("[REDACTED]")).alias("redacted"))
 
 
@@ -107,8 +107,8 @@ def neighbour_frame(spark, sf_dir):
 
 
 def overlapping_positions(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("n_chars < 600")
-    at = D.all_positions(F.col("text"), F.lit("anan"))
+    docs = read(spark, sf_dir, "documents")
+    at = D.all_positions(F.col("text"), "anan")
     return docs.select("doc_id", F.size(at).cast("long").alias("n"), F.array_join(at, ",").alias("places")).where("n > 0")
 
 
@@ -136,13 +136,13 @@ ORACLE_SQL = {
     "artifact_ids": "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN concat('sha256:', sha256(text)) END AS artifact_id, CASE WHEN doc_id % 9 <> 0 THEN sha256(text) END AS sha FROM documents",
     "quote_location": "SELECT doc_id, item_id, instr(d.text, b.text) AS at, sha256(substr(d.text, greatest(1, instr(d.text, b.text) - 60), instr(d.text, b.text) + 60 + length(b.text) - greatest(1, instr(d.text, b.text) - 60))) AS context_sha FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "line_units": """SELECT doc_id, ln, start, line FROM (SELECT doc_id, ln - 1 AS ln, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM documents)) WHERE contains(line, 'icense')""",
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM documents))""",
     "phrase_boundary": """WITH p AS (SELECT doc_id, regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]of the[^\\pL\\pN/_+-]') AS of_the, regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]licensed[^\\pL\\pN/_+-]') AS licensed,
         regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]4\\.0[^\\pL\\pN/_+-]') AS four FROM documents) SELECT * FROM p WHERE of_the OR licensed OR four""",
     "value_parse": f"""{_EV} SELECT event_id, CASE WHEN shape IN (0, 1) THEN x::BIGINT END AS whole, CASE WHEN shape IN (0, 1) THEN x::DOUBLE WHEN shape = 6 THEN x::DOUBLE * 10 END AS number,
         CASE WHEN shape = 4 OR (shape IN (0, 1) AND x = '1') THEN true WHEN shape = 5 OR (shape IN (0, 1) AND x = '0') THEN false END AS flag, CASE shape WHEN 2 THEN 'mm' WHEN 3 THEN 'to 50 V' END AS unit,
         CASE WHEN shape = 3 AND x::DOUBLE <= 50 THEN x::DOUBLE END AS lo, CASE WHEN shape = 3 AND x::DOUBLE <= 50 THEN 50.0::DOUBLE END AS hi FROM r""",
-    "redact_secrets": """WITH x AS (SELECT doc_id, regexp_replace(text, '\\b(api[-_]?key|access[-_]?token|refresh[-_]?token|id[-_]?token|auth|authorization|token|key|password|secret|signature)=([^&\\s"'']+)', '\\1=[REDACTED]', 'gi') AS t FROM documents WHERE contains(text, 'password=') OR contains(text, 'token'))
+    "redact_secrets": """WITH x AS (SELECT doc_id, regexp_replace(text, '\\b(api[-_]?key|access[-_]?token|refresh[-_]?token|id[-_]?token|auth|authorization|token|key|password|secret|signature)=([^&\\s"'']+)', '\\1=[REDACTED]', 'gi') AS t FROM documents)
         SELECT doc_id, sha256(t) AS sha, contains(t, '[REDACTED]') AS redacted FROM x""",
     "sensitive_keys": "SELECT ['API-Key', 'client_secret', 'Set Cookie', 'user', 'pass.word', 'tokens', 'key'][event_id % 7 + 1] AS name, [true, true, true, false, true, false, true][event_id % 7 + 1] AS sensitive, count(*) AS n FROM events GROUP BY 1, 2",
     "replay_keys": f"SELECT event_id, {_KEY_SQL} AS key FROM events",
@@ -152,6 +152,7 @@ ORACLE_SQL = {
         s AS (SELECT qid, pid, len(list_intersect(pw, qw)) AS b, len(pw) AS np, len(qw) AS nq FROM p, q), t AS (SELECT qid, pid, round(b / (np + nq - b) + 0.25 * b / np, 9) AS score FROM s WHERE b > 0)
         SELECT qid AS query_id, pid AS phrase_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS position FROM t QUALIFY position <= 5""",
     "neighbour_frame": "SELECT conv_id, turn, role FROM conversations QUALIFY max(CASE WHEN length(text) > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1",
-    "overlapping_positions": """WITH x AS (SELECT doc_id, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = 'anan') AS pos FROM documents WHERE n_chars < 600)
-        SELECT doc_id, len(pos) AS n, array_to_string(pos, ',') AS places FROM x WHERE len(pos) > 0""",
+    "overlapping_positions": """WITH RECURSIVE r AS (SELECT doc_id, 0 AS k, instr(text, 'anan') AS pos, substr(text, instr(text, 'anan') + 1) AS rest FROM documents WHERE contains(text, 'anan')
+        UNION ALL SELECT doc_id, k + 1, pos + instr(rest, 'anan'), substr(rest, instr(rest, 'anan') + 1) FROM r WHERE contains(rest, 'anan'))
+        SELECT doc_id, count(*) AS n, string_agg(pos, ',' ORDER BY k) AS places FROM r GROUP BY doc_id""",
 }

@@ -9,6 +9,9 @@ from catalith.operators import evidence as V
 from catalith.plans.catalog import read
 
 
+#: Slots of a wide record. Few, so that the tables have records that are full; what is beyond is returned as well.
+CAPACITY = 12
+
 def latency_summary(spark, sf_dir):
     out = E.latency(read(spark, sf_dir, "events"), ["event_type"], "value")
     return out.select("event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "p50", "p95")
@@ -45,13 +48,13 @@ def manifest_coverage(spark, sf_dir):
 
 
 def conflict_resolution(spark, sf_dir):
-    facts = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"), (F.col("l_partkey") % 3 * (F.col("l_suppkey") % 2)).alias("point"), F.when(F.col("l_partkey") % 3 == 1, F.lit(1.0)).otherwise(F.col("l_discount")).alias("value"))
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"), (F.col("l_partkey") % 3 * (F.col("l_suppkey") % 2)).alias("point"), F.when(F.col("l_partkey") % 3 == 1, F.lit(1.0)).otherwise(F.col("l_discount")).alias("value"))
     out = V.resolve_conflicts(facts, ["target"], "point", "value", ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "target", "outcome")
 
 
 def adjudicated(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0")
+    items = read(spark, sf_dir, "lineitem")
     rules = spark.createDataFrame([("AIR", "T1", 1, "numeric", "PRESERVE", None, "mm"), ("RAIL", "T2", 2, None, "ENCODES", {"line": "2"}, None), ("N", "T3", 3, "alphanumeric", "NONE", None, None)], "source_key string, target string, priority int, expected_kind string, policy string, required map<string,string>, target_unit string")
     n = F.col("l_linenumber")
     rows = items.select("l_orderkey", n, (F.col("l_partkey") % 10 != 0).alias("identity_exact"), (F.col("l_suppkey") % 5 != 0).alias("verified"), F.when(n % 4 == 0, "AIR").when(n % 4 == 1, "RAIL").when(n % 4 == 2, "N").otherwise("OTHER").alias("source_key"),
@@ -60,16 +63,19 @@ def adjudicated(spark, sf_dir):
 
 
 def attribute_unpivot_pivot(spark, sf_dir):
-    """Orders of a customer as numbered slots, made wide, and long again: nothing is lost up to the capacity."""
+    """Orders of a customer as numbered slots, made wide, and long again; orders beyond the record's capacity join them, told apart."""
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    numbered = V.slots(orders, ["o_custkey"], ["o_orderkey"], 6)
-    wide = V.to_wide(numbered.where("fits"), ["o_custkey"], "slot", {"label": "o_orderpriority", "value": "o_orderstatus"}, 6)
-    return V.to_long(wide, ["o_custkey"], ["label", "value"], 6, "label").select("o_custkey", F.col("slot").cast("long").alias("slot"), "label", "value")
+    numbered = V.slots(orders, ["o_custkey"], ["o_orderkey"], CAPACITY)
+    wide = V.to_wide(numbered.where("fits"), ["o_custkey"], "slot", {"label": "o_orderpriority", "value": "o_orderstatus"}, CAPACITY)
+    long = V.to_long(wide, ["o_custkey"], ["label", "value"], CAPACITY, "label").select("o_custkey", F.col("slot").cast("long").alias("slot"), "label", "value", F.lit(True).alias("fits"))
+    return long.unionByName(numbered.where("NOT fits").select("o_custkey", F.col("slot").cast("long").alias("slot"), F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("value"), "fits"))
 
 
 def wide_record(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return V.to_wide(V.slots(orders, ["o_custkey"], ["o_orderkey"], 3), ["o_custkey"], "slot", {"label": "o_orderpriority"}, 3)
+    """A record for each customer, with how many orders are beyond its capacity."""
+    orders = V.slots(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderkey"], CAPACITY)
+    beyond = orders.groupBy("o_custkey").agg(F.count_if(~F.col("fits")).alias("beyond"))
+    return V.to_wide(orders, ["o_custkey"], "slot", {"label": "o_orderpriority"}, CAPACITY).join(beyond, "o_custkey")
 
 
 def identity_disposition(spark, sf_dir):
@@ -99,7 +105,7 @@ def interval_bucket(spark, sf_dir):
 
 
 def condition_points(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0")
+    items = read(spark, sf_dir, "lineitem")
     mine = F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus"))
     claimed = F.create_map(F.lit("flag"), F.lit("n"), F.lit("status"), F.lit("O"))
     return items.select("l_orderkey", "l_linenumber", V.supports(mine, claimed).alias("supports"), F.array_join(V.conflicting_kinds(mine, claimed), ",").alias("conflicts"))
@@ -135,15 +141,15 @@ ORACLE_SQL = {
     "unexpected_predictions": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "split_leakage": "SELECT source, count(DISTINCT doc_id % 3) AS splits, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY 1 HAVING splits > 1",
     "manifest_coverage": f"WITH {_J} SELECT count(*) AS cases, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT quality) AS classes, count(*) FILTER (quality IS NULL) AS unlabelled, count(*) FILTER (toxic = 1) AS toxic FROM j",
-    "conflict_resolution": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey AS target, l_partkey % 3 * (l_suppkey % 2) AS point, CASE WHEN l_partkey % 3 = 1 THEN 1.0 ELSE l_discount END AS value FROM lineitem WHERE l_orderkey % 4 = 0),
+    "conflict_resolution": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey AS target, l_partkey % 3 * (l_suppkey % 2) AS point, CASE WHEN l_partkey % 3 = 1 THEN 1.0 ELSE l_discount END AS value FROM lineitem),
         s AS (SELECT target, count(*) AS n, count(DISTINCT point) AS p, count(DISTINCT value) AS v FROM f GROUP BY 1)
         SELECT l_orderkey, l_linenumber, f.target, CASE WHEN n = 1 THEN 'COMMIT' WHEN p > 1 THEN 'MULTIPLE_OPERATING_POINTS' WHEN v > 1 THEN 'CONFLICT' WHEN row_number() OVER (PARTITION BY f.target ORDER BY l_orderkey, l_linenumber) = 1 THEN 'COMMIT' ELSE 'DUPLICATE_MERGED' END AS outcome FROM f JOIN s ON s.target = f.target""",
-    "adjudicated": """WITH f AS (SELECT l_partkey % 10 <> 0 AS ident, l_suppkey % 5 <> 0 AS ver, l_linenumber % 4 AS k, CASE WHEN l_partkey % 7 = 0 THEN 'range' WHEN l_partkey % 2 = 0 THEN 'numeric' ELSE 'alphanumeric' END AS kind, l_suppkey % 2 = 0 AS two, l_partkey % 3 = 0 AS mm FROM lineitem WHERE l_orderkey % 8 = 0),
+    "adjudicated": """WITH f AS (SELECT l_partkey % 10 <> 0 AS ident, l_suppkey % 5 <> 0 AS ver, l_linenumber % 4 AS k, CASE WHEN l_partkey % 7 = 0 THEN 'range' WHEN l_partkey % 2 = 0 THEN 'numeric' ELSE 'alphanumeric' END AS kind, l_suppkey % 2 = 0 AS two, l_partkey % 3 = 0 AS mm FROM lineitem),
         r AS (SELECT CASE WHEN NOT ident THEN 'IDENTITY_NOT_EXACT' WHEN NOT ver THEN 'VERIFICATION_FAILED' WHEN k = 3 THEN 'NO_MAPPING' WHEN kind = 'range' OR (k = 0 AND kind <> 'numeric') OR (k = 2 AND kind <> 'alphanumeric') THEN 'VALUE_KIND_MISMATCH'
                   WHEN k = 2 OR (k = 1 AND NOT two) THEN 'CONDITION_LOSS' WHEN k = 0 AND NOT mm THEN 'UNIT_INCOMPATIBLE' ELSE 'ELIGIBLE' END AS reason FROM f)
         SELECT CASE reason WHEN 'IDENTITY_NOT_EXACT' THEN 'WITHHOLD' WHEN 'VERIFICATION_FAILED' THEN 'WITHHOLD' WHEN 'NO_MAPPING' THEN 'UNMAPPED' WHEN 'ELIGIBLE' THEN 'COMMIT' ELSE 'REVIEW' END AS decision, reason, count(*) AS n FROM r GROUP BY 1, 2""",
-    "attribute_unpivot_pivot": f"WITH {_SLOTS} SELECT o_custkey, slot, o_orderpriority AS label, o_orderstatus AS value FROM s WHERE slot <= 6",
-    "wide_record": f"WITH {_SLOTS} SELECT o_custkey, max(o_orderpriority) FILTER (slot = 1) AS label_1, max(o_orderpriority) FILTER (slot = 2) AS label_2, max(o_orderpriority) FILTER (slot = 3) AS label_3 FROM s WHERE slot <= 3 GROUP BY 1",
+    "attribute_unpivot_pivot": f"WITH {_SLOTS} SELECT o_custkey, slot, o_orderpriority AS label, o_orderstatus AS value, slot <= {CAPACITY} AS fits FROM s",
+    "wide_record": f"WITH {_SLOTS} SELECT o_custkey, {', '.join(f'max(o_orderpriority) FILTER (slot = {i}) AS label_{i}' for i in range(1, CAPACITY + 1))}, count(*) FILTER (slot > {CAPACITY}) AS beyond FROM s GROUP BY 1",
     "identity_disposition": """WITH i AS (SELECT l_suppkey % 20 AS brand, l_partkey AS mpn, l_orderkey AS o, l_linenumber AS l FROM lineitem),
         e AS (SELECT brand, mpn, count(DISTINCT x) AS targets, min(x) AS target FROM (SELECT *, mpn * 10 + CASE WHEN o % 9 = 0 THEN l % 2 ELSE 0 END AS x FROM i WHERE o % 3 = 0) GROUP BY 1, 2),
         c AS (SELECT brand, mpn, count(DISTINCT l % 2) AS keys FROM i WHERE o % 5 = 0 GROUP BY 1, 2), m AS (SELECT brand, mpn, l % 3 AS code, count(DISTINCT l) AS built, min(mpn * 100 + l) AS "full" FROM i WHERE o % 7 = 0 GROUP BY 1, 2, 3),
@@ -156,7 +162,7 @@ ORACLE_SQL = {
     "interval_merge": """WITH s AS (SELECT l_suppkey, l_partkey AS a, (l_partkey + l_quantity)::BIGINT AS b FROM lineitem), m AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 1 ELSE 0 END AS new FROM s),
         r AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m) SELECT l_suppkey, min(a) AS lo, max(b) AS hi, count(*) AS n FROM r GROUP BY l_suppkey, run""",
     "interval_bucket": "SELECT CASE WHEN l_quantity < 5 OR l_quantity >= 45 THEN NULL WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 20 THEN 1 ELSE 2 END AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
-    "condition_points": "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AND l_linestatus = 'O' AS supports, concat_ws(',', CASE WHEN l_returnflag <> 'N' THEN 'flag' END, CASE WHEN l_linestatus <> 'O' THEN 'status' END) AS conflicts FROM lineitem WHERE l_orderkey % 16 = 0",
+    "condition_points": "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AND l_linestatus = 'O' AS supports, concat_ws(',', CASE WHEN l_returnflag <> 'N' THEN 'flag' END, CASE WHEN l_linestatus <> 'O' THEN 'status' END) AS conflicts FROM lineitem",
     "pipeline_state": """WITH f AS (SELECT user_id, bool_or(event_type = 'error') AS failed, bool_or(event_type = 'purchase') AS done, bool_or(event_type = 'click') AS begun, count(*) AS n FROM events GROUP BY 1)
         SELECT CASE WHEN failed THEN 'FAILED' WHEN done THEN 'DONE' WHEN begun THEN 'RUNNING' ELSE 'NOT_RUN' END AS state, count(*) AS users, sum(n)::BIGINT AS events FROM f GROUP BY 1""",
     "other_brand_facts": """WITH f AS (SELECT l_suppkey % 20 AS brand, l_partkey AS mpn, count(*) AS own FROM lineitem GROUP BY 1, 2) SELECT brand, mpn, (sum(own) OVER (PARTITION BY mpn) - own)::BIGINT AS others FROM f""",

@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from catalith.operators.documents import all_positions
 from catalith.plans.documents import quantities
 
 
@@ -18,3 +21,10 @@ def test_quantities_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([*rows, (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.unit: (r.n, r.largest) for r in quantities(spark, str(tmp_path)).collect()}
     assert got == {u: (len(x), max(x)) for u, x in expected.items()} and len(got) == len(units)
+
+
+def test_all_positions(spark):
+    texts = ["", None, "anan", "ananan anan", "xanananx", "aaaa", "日anan😀anan", "(a.b\\Eanan"]
+    for needle in ("anan", "aa", ".", "\\E", "(a", "n", "😀"):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", all_positions(F.col("text"), needle).alias("at")).collect()
+        assert all(r.at == (None if r.text is None else [i + 1 for i in range(len(r.text)) if r.text.startswith(needle, i)]) for r in rows)
