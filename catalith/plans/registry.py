@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog", "discovery", "documents", "evaluation")
+MODULES = ("catalog", "discovery", "documents", "evaluation", "records")
 
 
 def _modules():
