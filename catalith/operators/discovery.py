@@ -135,15 +135,24 @@ def diagnose(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def url_structure(url: Column) -> Column:
-    """OK, or why a URL may not be fetched: scheme, host, or an address that isn't public."""
+    """OK, or why a URL may not be fetched: scheme, host, or an address that isn't public.
+
+    A host is a name with a letter in its last label, or a dotted quad of decimal numbers. Other
+    spellings of an address (IPv6 in brackets, one number, octal or hexadecimal parts, fewer
+    parts) are refused, for what they reach isn't told apart here.
+    """
     host = T.url_host(url)
     octet = lambda i: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
     a, b = octet(1), octet(2)
+    quad = F.rlike(host, F.lit(r"^(?:(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(?:\.|$)){4}$")) & ~host.endswith(".")
+    last = F.regexp_extract(host, r"([^.]*)\.?$", 1)
+    name = F.rlike(last, F.lit(r"[a-z]|[^\x00-\x7f]")) & ~F.rlike(last, F.lit("^0x[0-9a-f]*$")) & ~F.rlike(host, F.lit(r"[\[\]%\s]"))
     private = (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)))
     return (
         F.when(~F.rlike(F.coalesce(url, F.lit("")), F.lit(r"(?i)^https?://")), "SCHEME_NOT_ALLOWED")
         .when(host == "", "HOST_MISSING")
         .when((host == "localhost") | F.endswith(host, F.lit(".localhost")), "LOCALHOST")
         .when(F.coalesce(private, F.lit(False)), "PRIVATE_ADDRESS")
+        .when(~(quad | name), "ADDRESS_NOT_PARSED")
         .otherwise("OK")
     )

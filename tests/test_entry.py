@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 
 REPO = Path(entry.__file__).parent
@@ -17,8 +19,9 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_without_the_llm_package(tmp_path):
-    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_without_the_llm_package(tmp_path, gone):
+    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", *gone, "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'catalog_decisions' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
 

@@ -116,3 +116,12 @@ def test_grid(spark):
     assert G.search(df, " A1", ["mpn"]).count() == 2
     stages = spark.createDataFrame([(1, "VERIFIED"), (1, "VERIFIED"), (2, "VERIFIED"), (2, "NOT_RUN"), (3, "REVIEW"), (3, "WITHHELD")], "run int, state string")
     assert {r.run: r.overall for r in G.overall_state(stages, ["run"], "state").collect()} == {1: "VERIFIED", 2: "PARTIAL", 3: "WITHHELD"}
+
+
+def test_url_structure(spark):
+    expected = {
+        "http://[::1]/": "ADDRESS_NOT_PARSED", "http://[fe80::1]/": "ADDRESS_NOT_PARSED", "http://2130706433/": "ADDRESS_NOT_PARSED", "http://127.1/": "ADDRESS_NOT_PARSED", "http://0x7f000001/": "ADDRESS_NOT_PARSED",
+        "http://0x7f.0.0.0x1/": "ADDRESS_NOT_PARSED", "http://8.8.8.999/": "ADDRESS_NOT_PARSED", "http://8.8.8.8/": "OK", "http://127.0.0.1/": "PRIVATE_ADDRESS", "http://u:p@10.0.0.1:80/": "PRIVATE_ADDRESS", "https://a.example/x": "OK",
+        "https://xn--bcher-kva.example": "OK", "https://b\u00fccher.d\u00e9": "OK", "https://0xdeal.com/": "OK", "https://1.a/": "OK", "ftp://a.b/": "SCHEME_NOT_ALLOWED", "http:///x": "HOST_MISSING", "http://x.localhost/": "LOCALHOST",
+    }
+    assert dict(zip(expected, many(spark, D.url_structure(F.col("x")), list(expected)), strict=True)) == expected
