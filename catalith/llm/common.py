@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import uuid
 
 import pyarrow as pa
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only for sessions that name no shared folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+_WRITTEN: list[tuple[SparkSession, str, int]] = []
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -17,8 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir, else one of our own."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The cluster's folder in spark.checkpoint.dir; on one machine, where it names none, one of our own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, folder, os.getpid()))
+    return f"{folder}/{name}"
+
+
+def forget_settled() -> None:
+    """Delete what this process has settled; for when all results that read it are written. Done at the process's end too."""
+    while _WRITTEN:
+        spark, folder, pid = _WRITTEN.pop()
+        if pid != os.getpid():  # a copy of the process that wrote it
+            continue
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        forget_settled()
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +59,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     are the same for every later reader.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}/{name}"
+    path = _path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,7 +71,7 @@ def settle_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     warehouse and stay.
     """
     spark = df.sparkSession
-    path, known_as = f"{shared_dir(spark)}/catalith-{uuid.uuid4().hex}/{name}", f"catalith_{uuid.uuid4().hex}"
+    path, known_as = _path(spark, name), f"catalith_{uuid.uuid4().hex}"
     df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(known_as)
     out = spark.table(known_as)
     spark.sql(f"DROP TABLE {known_as}")

@@ -1,12 +1,14 @@
-"""Line deduplication over line-ID sequences, with DataFrame functions only.
+"""Line deduplication by a suffix array over line-ID sequences, with DataFrame functions only.
 
 A line's ID is the hash of its text, so it needs no exchange. Only lines that occur
-more than once can lie in a repeated run; stretches of such lines are ranked by
-prefix doubling: the rank of 2**(j+1) lines is the hash of the ranks of its two
-halves of 2**j lines. Equal ranks are the intervals of suffixes whose longest common
-prefix is at least that long (the suffixes' order inside and between intervals is
-never asked for, so ranks are hashes and no sort moves them). A run of any length
-is ranked by the two powers of two that cover it.
+more than once can lie in a repeated run; the suffixes of stretches of such lines are
+ranked by distributed prefix doubling: the distinct pairs of ranks of the 2**j lines
+at a place and the 2**j lines after them are sorted over all partitions, and a pair's
+place in that order is the rank of those 2**(j+1) lines. So a rank orders suffixes by
+their first lines, and suffixes that share n lines, an interval of the suffix array whose
+longest common prefix is n or more, are those with the same ranks for the two powers of
+two that cover the n lines. Pairs are made distinct before they are sorted, so a very
+common run is one row there.
 
 A run of lines is repeated if it has MIN_WORDS words or more and is found earlier,
 in the order of doc_id (nulls last) and line, without overlapping that first place.
@@ -30,6 +32,8 @@ from catalith.llm.common import settle
 MIN_WORDS = 50
 #: Changed documents whose runs are sent to all executors at most; beyond it they are joined by exchange.
 BROADCAST_DOCS = 100_000
+#: Ranks of one round (24 bytes each), and lines found more than once (8), that are sent to all executors at most; beyond it they are joined by exchange.
+BROADCAST_RANKS = 500_000
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
@@ -41,7 +45,9 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines found more than once, numbered by stretch of neighbours with min_words words at least, and their running sums."""
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = settle(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
+    if often.count() <= BROADCAST_RANKS:
+        often = F.broadcast(often)
     doc = Window.partitionBy("rid").orderBy("ln")
     rows = lines.join(often, "h", "left_semi").withColumn("new", (F.col("ln") - F.lag("ln", 1, -2).over(doc) > 1).cast("int"))
     rows = rows.withColumn("seg", F.sum("new").over(doc)).drop("new")
@@ -66,16 +72,27 @@ def _levels(n: int) -> int:
     return max(0, n.bit_length() - 1)
 
 
-def _doubled(ranks: Column, half: int) -> Column:
-    """Ranks of 2 * half lines from those of half lines; empty where there are too few."""
-    at = F.sequence(F.lit(0), F.size("ids") - 2 * half)
-    return F.when(F.size("ids") >= 2 * half, F.transform(at, lambda i: F.xxhash64(F.get(ranks, i), F.get(ranks, i + half)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _pick(levels: list[str], level: Column, at: Column) -> Column:
-    out = F.get(F.col(levels[0]), at)
-    for j, name in enumerate(levels[1:], 1):
-        out = F.when(level == j, F.get(F.col(name), at)).otherwise(out)
+def _ranked(rows: DataFrame, longest: int) -> DataFrame:
+    """rows with r0, r1, ...: the rank of the 1, 2, 4, ... lines from each line on, as far as runs go; null where a stretch has too few."""
+    stretch = Window.partitionBy("rid", "seg").orderBy("ln")
+    rows = rows.withColumn("r0", F.col("h"))
+    for j in range(_levels(longest)):
+        pair = [f"r{j}", "then"]
+        rows = rows.withColumn("then", F.lead(f"r{j}", 1 << j).over(stretch))
+        ranks = rows.where("then IS NOT NULL").select(*pair).distinct().orderBy(*pair)
+        ranks = settle(ranks.withColumn(f"r{j + 1}", F.monotonically_increasing_id()), "ranks")  # rises with the order of the sort
+        if ranks.count() <= BROADCAST_RANKS:
+            ranks = F.broadcast(ranks)
+        rows = settle(rows.join(ranks, pair, "left").drop("then"), "suffixes")
+    return rows
+
+
+def _pick(levels: int, level: Column, at: Column) -> Column:
+    """The rank of a level at a place of the stretch."""
+    place = F.get(F.col("places"), at)
+    out = place["r0"]
+    for j in range(1, levels):
+        out = F.when(level == j, place[f"r{j}"]).otherwise(out)
     return out
 
 
@@ -85,16 +102,13 @@ def _ranked_runs(rows: DataFrame, longest: int) -> DataFrame:
         F.when(F.col("end").isNotNull(), F.struct(F.col("ln").alias("a"), (F.col("end") - F.col("ln") + 1).alias("n"))),
         F.when(F.col("start").isNotNull(), F.struct(F.col("start").alias("a"), (F.col("ln") - F.col("start") + 1).alias("n"))),
     ), lambda x: x.isNotNull())))
-    packed = rows.groupBy("rid", "doc_id", "seg").agg(F.sort_array(F.collect_list(F.struct("ln", "h"))).alias("ids"), F.array_distinct(runs).alias("runs"), F.min("ln").alias("lo"))
-    packed = packed.withColumn("r0", F.transform("ids", lambda x: x["h"]))
-    levels = ["r0"]
-    for j in range(_levels(longest)):
-        packed = packed.withColumn(f"r{j + 1}", _doubled(F.col(f"r{j}"), 1 << j))
-        levels.append(f"r{j + 1}")
+    levels = _levels(longest) + 1
+    places = F.sort_array(F.collect_list(F.struct("ln", *[f"r{j}" for j in range(levels)])))
+    packed = _ranked(rows, longest).groupBy("rid", "doc_id", "seg").agg(places.alias("places"), F.array_distinct(runs).alias("runs"), F.min("ln").alias("lo"))
 
     def ranked(run: Column) -> Column:
         level, at = F.floor(F.log2(run["n"].cast("double") + 0.5)).cast("int"), run["a"] - F.col("lo")
-        power = F.element_at(F.array(*[F.lit(1 << j) for j in range(len(levels))]), level + 1)
+        power = F.element_at(F.array(*[F.lit(1 << j) for j in range(levels)]), level + 1)
         return F.struct(run["a"].alias("a"), run["n"].alias("n"), _pick(levels, level, at).alias("left"), _pick(levels, level, at + run["n"] - power).alias("right"))
 
     return packed.select("rid", "doc_id", F.explode(F.transform("runs", ranked)).alias("x")).select("rid", "doc_id", "x.*")
