@@ -23,6 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ OPEN = 32
 #: Partitions whose last windows are merged in one task; each brings less than one window.
 GROUP = 64
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBERED, LONG_WORD = 500_000, 64
+REMEMBERED, LONG_WORD = 800_000, 64
 #: Characters tokenized in one go, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,33 +89,39 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        docs = [self._words(t) for t in texts]
-        words = list(itertools.chain.from_iterable(docs))
+        texts = pa.array(texts, pa.string())
+        # A-Z are lower-cased as the tokenizer would, unless a special string may be in the text.
+        plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(plain)
+        found = split.flatten().dictionary_encode()
+        parts = self._ids(found.dictionary.cast(pa.binary()).to_pylist())
+        lengths = np.array(list(map(len, parts)), np.int64) // 4
+        starts, at = np.cumsum(lengths) - lengths, found.indices.to_numpy()
+        n = lengths[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(total[-1]) + np.repeat(starts[at] - total[:-1], n)
+        data, ends = np.frombuffer(b"".join(parts), "<u4")[place].tobytes(), (4 * total[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in itertools.pairwise(ends)]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words (an empty one has none)."""
         known = self.known
         if len(known) + len(words) > REMEMBERED:
             known.clear()
         parts = list(map(known.get, words))
         gaps = [i for i, p in enumerate(parts) if p is None]
-        missing = {words[i] for i in gaps}
-        cores = {w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in missing}
+        # A word of letters and a stop is put together each time, and isn't remembered itself.
+        stopped = [words[i][-1:] in self.stops and words[i][-2:-1].isalpha() for i in gaps]
+        cores = {words[i][:-1] if cut else words[i] for i, cut in zip(gaps, stopped, strict=True)}
         cores = list(cores.union(self.stops) - known.keys())
         known.update(zip(cores, self._pack(cores), strict=True))
-        for w in missing:
-            if w not in known:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-        for i in gaps:
-            parts[i] = known[words[i]]
-        for w in missing:
+        for i, cut in zip(gaps, stopped, strict=True):
+            w = words[i]
+            parts[i] = known[w[:-1]] + known[w[-1:]] if cut else known[w]
+        for w in cores:
             if len(w) > LONG_WORD:
-                known.pop(w, None)  # gone already as the core of a longer one, perhaps
-                known.pop(w[:-1], None)
-        ends = list(itertools.accumulate(map(len, docs)))
-        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _words(self, text: str) -> list[bytes]:
-        """Words, with A-Z lower-cased as the tokenizer would, unless a special string may be in the text."""
-        data = text.encode("utf-8", "replace")
-        return (data if b"<|" in data else data.lower()).split()
+                del known[w]
+        return parts
 
 
 @functools.lru_cache(maxsize=1)
