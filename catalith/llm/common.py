@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import uuid
 
@@ -83,4 +84,11 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    trim()
+
+
+def trim() -> None:
+    """Give back what a task has freed: its worker lives on for other tasks, and other stages' libraries."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

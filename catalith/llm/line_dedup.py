@@ -33,7 +33,7 @@ MIN_WORDS = 50
 #: Changed documents whose runs are sent to all executors at most; beyond it they are joined by exchange.
 BROADCAST_DOCS = 100_000
 #: Ranks of one round (24 bytes each), and lines found more than once (8), that are sent to all executors at most; beyond it they are joined by exchange.
-BROADCAST_RANKS = 500_000
+BROADCAST_RANKS = 20_000
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, slices
+from catalith.llm.common import settle, slices, trim
 from catalith.llm.components import components
 
 WORDS = 5
@@ -128,6 +128,7 @@ def _by_group(handle):
             held = table.slice(starts[-1]) if len(starts) else None
         if held is not None and held.num_rows:
             yield from handle(held.combine_chunks(), np.array([0]), np.array([held.num_rows])).to_batches()
+        trim()
 
     return run
 

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, settle_buckets
+from catalith.llm.common import settle, settle_buckets, trim
 
 MARK = "▁"
 #: Characters of a segment that one 64-bit mask holds (and its end), and that the fold takes at all.
@@ -308,7 +308,7 @@ def _parts(batches, chars: int):
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)) + 1
             yield batch.slice(at, upto - at)
             at = min(upto, batch.num_rows)
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def _counted(path: str):
