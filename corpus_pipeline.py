@@ -24,6 +24,14 @@ def _as_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs are columns of files as they are read, with nothing between that may change the order of rows."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go (those without a letter among them); lang becomes the predicted one."""
     docs = docs.select(*DOC_COLUMNS)
@@ -43,7 +51,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a number of their own: of rows that repeat a doc_id, each is
     judged by its text, and of rows that repeat a doc_id and a text, one stays.
     """
-    rows = settle(docs.select(*DOC_COLUMNS).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    rows = docs.select(*DOC_COLUMNS)
+    if not _is_scan(docs):
+        rows = settle(rows, "plain")
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())  # the same in each scan of the same files
     classes = jaccard_classes(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "class_id")
     members = settle(classes.join(rows.select("rid", "doc_id"), "rid"), "members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
