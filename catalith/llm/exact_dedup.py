@@ -30,7 +30,7 @@ from catalith.llm.common import settle, slices
 LIST_ROWS = 1_000_000
 #: Fingerprints that one owner gets, about.
 OWNER_ROWS = 500_000
-#: Suspect fingerprints sent to all executors at most (8 bytes each); beyond it suspects are found by a join.
+#: Suspect fingerprints that are broadcast at most (about 25 bytes each in a join's table); beyond it both sides of the join are shuffled.
 BROADCAST_SUSPECTS = 2_000_000
 
 
@@ -130,25 +130,12 @@ def suspect_fingerprints(digests: DataFrame, rows: int) -> DataFrame:
     return sends.select("list", "owner", "n", "k", "blob").join(replies, ["list", "owner"]).mapInPandas(_marked(bits), "fp long").distinct()
 
 
-def _norms(wanted):
-    """Documents of the wanted fingerprints (all, if None) with their normalised text."""
-
-    def norms(batches):
-        keep = None if wanted is None else wanted.value
-        for batch in batches:
-            fps = batch.column("fp").to_numpy()
-            rows = np.arange(len(fps)) if keep is None else np.flatnonzero(keep[np.minimum(np.searchsorted(keep, fps), len(keep) - 1)] == fps) if len(keep) else np.empty(0, int)
-            part = batch.take(pa.array(rows))
-            texts = [_normal(x) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), pa.array(texts, pa.binary())], ["doc_id", "fp", "norm"])
-
-    return norms
-
-
-def _with_fp(batches):
+def _norms(batches):
+    """Documents with the fingerprint and the bytes of their normalised text."""
     for batch in slices(batches):
-        fp = np.frombuffer(b"".join(hashlib.sha256(_normal(x)).digest()[:8] for x in batch.column("text").to_pylist()), ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(fp)], ["doc_id", "text", "fp"])
+        texts = [_normal(x) for x in batch.column("text").to_pylist()]
+        fp = np.frombuffer(b"".join(hashlib.sha256(t).digest()[:8] for t in texts), ">u8").astype(np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), pa.array(texts, pa.binary())], ["doc_id", "fp", "norm"])
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -156,17 +143,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digests = settle(docs.mapInArrow(_digests, "doc_id long, text_sha256 string, fp long"), "digests")
     suspects = settle(suspect_fingerprints(digests, digests.count()), "suspects")
-    schema = "doc_id long, fp long, norm binary"
-
-    def chain(wanted):
-        first, then = _with_fp, _norms(wanted)
-        return lambda batches: then(first(batches))
-
     if suspects.count() <= BROADCAST_SUSPECTS:
-        fps = np.sort(suspects.toPandas()["fp"].to_numpy(np.int64))
-        texts = docs.mapInArrow(chain(docs.sparkSession.sparkContext.broadcast(fps)), schema)
-    else:
-        texts = docs.mapInArrow(chain(None), schema).join(suspects, "fp", "left_semi")
+        suspects = F.broadcast(suspects)
+    texts = docs.mapInArrow(_norms, "doc_id long, fp long, norm binary").join(suspects, "fp", "left_semi")
     # Whole texts are the grouping key; partial sums come first, so a hot text leaves each task once.
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
     groups = groups.where("size > 1").select(F.sha2("norm", 256).alias("text_sha256"), F.lit(True).alias("found"), "keep", "size")

@@ -38,8 +38,10 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 HASHES = 64
 BLOCK = 256
-#: Candidate texts whose hash is sent to all executors at most (8 bytes each); beyond it they are found by a join.
-BROADCAST_TEXTS = 2_000_000
+#: Candidate texts whose hash is broadcast at most (about 100 bytes each in a join's table); beyond it both sides of the join are shuffled.
+BROADCAST_TEXTS = 1_000_000
+#: Keys that a task remembers to send a copy once; beyond it a few more copies are sent, which do no harm.
+REMEMBERED = 1_000_000
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 64, (1024, 1), dtype=np.uint64) | np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,28 +239,30 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> n
         label = new
 
 
-def _grams(n: int, wanted):
-    """Sets of the wanted texts, each text once for each partition."""
+def _firsts(column: str):
+    """Rows of Arrow batches whose value in column comes up for the first time in the partition: a hot text leaves it once."""
+
+    def firsts(batches):
+        seen = set()
+        for batch in batches:
+            new = []
+            for i, x in enumerate(batch.column(column).to_pylist()):
+                if x not in seen:
+                    new.append(i)
+                    if len(seen) < REMEMBERED:
+                        seen.add(x)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return firsts
+
+
+def _grams(n: int):
+    first = _firsts("node")
 
     def grams(batches):
-        keep, seen = None if wanted is None else wanted.value, set()
-        for batch in slices(batches):
-            keys, sets = [], []
-            for text in batch.column("text").to_pylist():
-                data = _data(text)
-                key = hashlib.sha256(data).digest()
-                head = int.from_bytes(key[:8], "big", signed=True)
-                if keep is not None:
-                    i = np.searchsorted(keep, head)
-                    if i == len(keep) or keep[i] != head:
-                        continue
-                if key in seen:
-                    continue
-                if len(seen) < 1_000_000:  # a hot text leaves a partition once; a few more copies do no harm
-                    seen.add(key)
-                keys.append(key)
-                sets.append(ngram_set(data, n).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "grams"])
+        for batch in slices(first(batches)):
+            sets = [ngram_set(_data(t), n).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
 
     return grams
 
@@ -266,13 +270,13 @@ def _grams(n: int, wanted):
 def _sets_for(docs: DataFrame, due: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(node, grams) of the nodes that are due."""
     nodes = settle(due.select("node").distinct().join(reps.select("node", "key"), "node"), "due_nodes")
-    wanted = None
+    texts = docs.select("text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
     if nodes.count() <= BROADCAST_TEXTS:
-        heads = [b.column(0).to_pylist() for b in nodes.select(F.substring("key", 1, 8).alias("k")).toArrow().to_batches()]
-        heads = np.array([int.from_bytes(k, "big", signed=True) for part in heads for k in part], np.int64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(heads))
-    sets = docs.select("text").mapInArrow(_grams(n, wanted), "key binary, grams binary")
-    return sets.join(nodes, "key").groupBy("node").agg(F.any_value("grams").alias("grams"))
+        nodes = F.broadcast(nodes)
+    else:
+        texts = texts.mapInArrow(_firsts("key"), "text string, key binary")
+    sets = texts.join(nodes, "key").select("node", "text").mapInArrow(_grams(n), "node long, grams binary")
+    return sets.groupBy("node").agg(F.any_value("grams").alias("grams"))
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
