@@ -13,6 +13,7 @@ from catalith.llm.quality import quality_rules
 from catalith.llm.sentencepiece_lattice import encode
 from catalith.llm.sharding import shard_documents
 from catalith.llm.url_filter import filter_urls
+from catalith.llm.whitening import whiten
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -55,6 +56,10 @@ def op10_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
 }
 
 #: Where DuckDB can say the same. It has no CRC-32, no xxhash64 and no models; those queries are tested against brute force.
