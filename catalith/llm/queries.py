@@ -6,6 +6,7 @@ from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
 from catalith.llm.language_id import language_id
 from catalith.llm.line_dedup import dedup_lines
+from catalith.llm.mixing import mixture
 from catalith.llm.ngram_join import jaccard_classes
 from catalith.llm.packing import pack
 from catalith.llm.pii import find_pii
@@ -60,6 +61,10 @@ def op11_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_mixing(spark, sf_dir):
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +77,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op13_mixing": op13_mixing,
 }
 
 #: Where DuckDB can say the same. It has no CRC-32, no xxhash64 and no models; those queries are tested against brute force.
@@ -137,4 +143,28 @@ ORACLE_SQL = {
                coalesce(len(d.lines), 0) AS n_lines, coalesce(len(d.lines), 0) - coalesce(k.n, 0) AS n_removed
         FROM docs d LEFT JOIN kept k USING (doc_id)
     """,
+    "op13_mixing": """
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size FROM documents
+        ), summed AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1
+        ), weighed AS (
+            SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM summed
+        ), rounds(k, room, weight) AS (
+            SELECT 0, CAST(sum(source_size) AS DOUBLE), CAST(sum(w) AS DOUBLE) FROM weighed
+            UNION ALL
+            SELECT r.k + 1, (SELECT sum(CASE WHEN r.room * w / r.weight > 3 * source_size THEN -2 * source_size ELSE source_size END) FROM weighed),
+                   (SELECT sum(CASE WHEN r.room * w / r.weight > 3 * source_size THEN 0 ELSE w END) FROM weighed)
+            FROM rounds r WHERE r.k < 50
+        ), targets AS (
+            SELECT source, source_size, least(3.0 * source_size, room * w / weight) AS target FROM weighed, (SELECT * FROM rounds ORDER BY k DESC LIMIT 1)
+        ), laid AS (
+            SELECT doc_id, s.source, size, source_size, target, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS quota,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':0')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, source, size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size * size + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
+        FROM laid
+    """,
 }
