@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from catalith.llm.common import table
 from catalith.llm.exact_dedup import exact_dedup
+from catalith.llm.impact_index import ranked_search
 from catalith.llm.language_id import language_id
 from catalith.llm.line_dedup import dedup_lines
 from catalith.llm.mixing import mixture
@@ -61,6 +62,10 @@ def op11_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_impact_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_mixing(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_impact_search": op12_impact_search,
     "op13_mixing": op13_mixing,
 }
 
@@ -143,6 +149,26 @@ ORACLE_SQL = {
                coalesce(len(d.lines), 0) AS n_lines, coalesce(len(d.lines), 0) - coalesce(k.n, 0) AS n_removed
         FROM docs d LEFT JOIN kept k USING (doc_id)
     """,
+    "op12_impact_search": r"""
+        WITH lower AS (
+            SELECT doc_id, row_number() OVER () AS d, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), worded AS (
+            SELECT doc_id, d, regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM lower
+        ), totals AS (
+            SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM worded WHERE len(w) > 0
+        ), held AS (
+            SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM worded) GROUP BY 1, 2
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM held, totals GROUP BY term, n_docs
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+        ), scored AS (
+            SELECT a.item_id, x.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(x.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM asked a JOIN held h USING (term) JOIN weights USING (term) JOIN worded x USING (d), totals GROUP BY a.item_id, x.d, x.doc_id
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+    """,
     "op13_mixing": """
         WITH RECURSIVE sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size FROM documents
