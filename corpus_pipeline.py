@@ -18,6 +18,8 @@ from catalith.llm.pii import redact_pii
 
 #: Rows that a stage drops whose ids are sent to all executors at most; beyond it they are found by a join.
 BROADCAST_IDS = 500_000
+#: Bits of a row's place in its file.
+FILE_BITS = 40
 
 
 def _as_documents(docs: DataFrame) -> DataFrame:
@@ -45,16 +47,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(clear.where("n_removed = 0 OR n_removed < n_lines"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents and rid, a number of each row's own: that of its file, and its place in the file.
+
+    How Spark packs files into partitions depends on the executors alive when a
+    plan is made, but a row's place in its file does not, so all plans over docs
+    give a row the same rid. Paths reach the driver, which lists them in any case.
+    """
+    if not _is_scan(docs):
+        docs = settle(docs.select(*DOC_COLUMNS), "plain")
+    rows = docs.select(*DOC_COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    paths = sorted(r.file for r in rows.select("file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], "file string, base long")
+    return rows.join(F.broadcast(files), "file").select(*DOC_COLUMNS, (F.col("base") + F.col("at")).alias("rid"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each linked group one row stays, that of the smallest doc_id (a null one is the largest).
 
     Rows are told apart by a number of their own: of rows that repeat a doc_id, each is
-    judged by its text, and of rows that repeat a doc_id and a text, one stays.
+    judged by its text, and of rows that repeat a doc_id and a text, one stays. The
+    result is the same under any partitioning of the same files.
     """
-    rows = docs.select(*DOC_COLUMNS)
-    if not _is_scan(docs):
-        rows = settle(rows, "plain")
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())  # the same in each scan of the same files
+    rows = _numbered(docs)
     classes = jaccard_classes(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "class_id")
     members = settle(classes.join(rows.select("rid", "doc_id"), "rid"), "members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))

@@ -85,3 +85,24 @@ def test_near_copies_tell_rows_apart(spark):
     fours = [t for i, t in kept if i == 4]
     assert [k for k in kept if k[0] != 4] == sorted([(0, text(5)), (1, text(1)), (2, text(2)), (3, text(3)), (5, "")])
     assert len(fours) == 1 and fours[0].startswith(text(4))
+
+
+def test_near_copies_are_the_same_under_any_parallelism(spark, tmp_path):
+    """Several files, packed into partitions otherwise by each plan: the same rows stay, and the numbers hold."""
+    text = lambda k: " ".join(f"w{zlib.crc32(f'{k}-{i}'.encode()) % 9973}" for i in range(60))
+    rows = [(i, text(i % 90) + (" end" if i % 2 else ""), "en", f"s{i}", i) for i in range(240)]
+    spark.createDataFrame(rows, SCHEMA).repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found, numbers = [], []
+    try:
+        for planned, read in ((4, 4), (4, 3), (1, 7)):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", planned)
+            kept = p.near_copies(spark, docs, "")
+            own = p._numbered(docs)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", read)
+            found.append(sorted(r.doc_id for r in kept.select("*").collect()))
+            numbers.append({r.doc_id: r.rid for r in own.select("*").collect()})
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert found[0] == found[1] == found[2] == list(range(90))
+    assert numbers[0] == numbers[1] == numbers[2] and len(set(numbers[0].values())) == 240
