@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import os
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,22 @@ def settle_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     return out
 
 
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to drop what an operator's tasks keep in their worker for its next tasks."""
+    _REMEMBERED[owner] = clear
+
+
+def begins(owner: str) -> None:
+    """A task of this operator begins: drop what the tasks of others have left in its worker, which serves many stages."""
+    for name, clear in _REMEMBERED.items():
+        if name != owner:
+            clear()
+    trim()
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of few rows, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

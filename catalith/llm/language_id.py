@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import slices
+from catalith.llm.common import begins, slices
 from catalith.llm.hashing import char_counts
 
 BITS = 13
@@ -129,6 +129,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
+        begins("language_id")
         judged = held.value.judge
         for batch in slices(batches):
             rows = [judged(t) for t in batch.column("text").to_pylist()]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, slices, trim
+from catalith.llm.common import begins, remembers, settle, slices, trim
 from catalith.llm.components import components
 
 WORDS = 5
@@ -65,6 +65,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+remembers("ngram_join", _WORDS.clear)
 
 
 def ngram_set(data: bytes, n: int = WORDS) -> np.ndarray:
@@ -98,6 +99,7 @@ def _data(text: str | None) -> bytes:
 
 def _signed(bands: int, rows: int, n: int):
     def signed(batches):
+        begins("ngram_join")
         for batch in slices(batches):
             texts = list(map(_data, batch.column("text").to_pylist()))
             keys = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
@@ -121,6 +123,7 @@ def _by_group(handle):
         return np.flatnonzero(new)
 
     def run(batches):
+        begins("ngram_join")
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
@@ -260,6 +263,7 @@ def _grams(n: int):
     first = _firsts("node")
 
     def grams(batches):
+        begins("ngram_join")
         for batch in slices(first(batches)):
             sets = [ngram_set(_data(t), n).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, slices
+from catalith.llm.common import begins, remembers, settle, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -59,11 +59,11 @@ class WordTokenizer:
 
     stops = frozenset((b",", b"."))
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.known, self.most = Tokenizer.from_file(path), {}, remembered or REMEMBERED
         vocab = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
@@ -106,7 +106,7 @@ class WordTokenizer:
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words (an empty one has none)."""
         known = self.known
-        if len(known) + len(words) > REMEMBERED:
+        if len(known) + len(words) > self.most:
             known.clear()
         parts = list(map(known.get, words))
         gaps = [i for i, p in enumerate(parts) if p is None]
@@ -125,9 +125,12 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=1)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, remembered: int | None = None) -> WordTokenizer:
     """One for each Python worker, which serves many tasks and so keeps what it remembers."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, remembered)
+
+
+remembers("packing", word_tokenizer.cache_clear)
 
 
 class Packer:
@@ -202,16 +205,17 @@ def _table(rows: list, left: list, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _packed(path: str, window: int):
+def _packed(path: str, window: int, chunk: int, remembered: int | None):
     def packed(batches):
-        part, tokens = TaskContext.get().partitionId(), word_tokenizer(path)
+        begins("packing")
+        part, tokens = TaskContext.get().partitionId(), word_tokenizer(path, remembered)
         packer = Packer(part << 32, window)
         end = struct.pack("<I", END_ID)
         for batch in slices(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             held, size = [], 0
             for i in range(len(doc_ids) + 1):
-                if held and (i == len(doc_ids) or size >= CHUNK):
+                if held and (i == len(doc_ids) or size >= chunk):
                     for d, ids in zip(doc_ids[i - len(held) : i], tokens.encode(held), strict=True):
                         packer.add(d, ids + end)
                     held, size = [], 0
@@ -241,10 +245,10 @@ def _merged(window: int):
     return merged
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, chunk: int = CHUNK, remembered: int | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. chunk: characters tokenized in one go; remembered: words that a worker remembers; less of either takes less memory and more time."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = settle(docs.mapInArrow(_packed(path or tokenizer_file(), window), f"{_PIECE}, ids binary, part long"), "pieces")
+    pieces = settle(docs.mapInArrow(_packed(path or tokenizer_file(), window, chunk, remembered), f"{_PIECE}, ids binary, part long"), "pieces")
     left = pieces.where("sequence_id IS NULL").withColumn("group", (F.col("part") / GROUP).cast("long"))
     final = pieces.where("sequence_id IS NOT NULL").drop("ids", "part")
     return final.unionByName(left.groupBy("group").applyInPandas(_merged(window), _PIECE))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.bilstm_crf import KINDS, PAD, WINDOW, Tagger, char_ids, spans_of
-from catalith.llm.common import slices
+from catalith.llm.common import begins, slices
 
 Span = tuple[int, int, int]  # kind index, start, end
 
@@ -282,6 +282,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     names = ["n_email", "n_ip", "n_card", "n_phone"]
 
     def found(batches):
+        begins("pii")
         for batch in slices(batches):
             _, bases, added = scan(batch)
             counts = [pa.array([sum(s[0] == k for s in b) for b in bases], pa.int64()) for k in range(4)]
@@ -308,6 +309,7 @@ def redact_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     scan = _scan(docs.sparkSession.sparkContext.broadcast(tagger or trained()))
 
     def masked(batches):
+        begins("pii")
         for batch in slices(batches):
             texts, bases, added = scan(batch)
             null = batch.column("text").is_null().to_pylist()

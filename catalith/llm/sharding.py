@@ -134,9 +134,9 @@ def shard_of(cuts: list[tuple[int, int]]) -> Column:
 
 
 def numbered(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard: bins of doc_id hashes are numbered apart and follow one another."""
+    """Adds slot, gapless from 0 in each shard: bins by text and doc_id, so that neither a common text nor null ids fill one, are numbered apart and follow one another."""
     bins = max(LEAST_BINS, n_rows // (BIN_ROWS * shards))
-    rows = rows.withColumn("bin", F.pmod("k", F.lit(bins)))
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("h", "k"), F.lit(bins)))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n")).select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("shard", "bin").orderBy("k", "h", "size")

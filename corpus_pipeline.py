@@ -18,6 +18,10 @@ from catalith.llm.pii import redact_pii
 
 #: Rows that a stage drops whose ids are sent to all executors at most; beyond it they are found by a join.
 BROADCAST_IDS = 500_000
+#: Characters that packing tokenizes in one go.
+CHUNK = 1 << 20
+#: Words that a worker remembers there.
+REMEMBERED = 150_000
 #: Bits of a row's place in its file.
 FILE_BITS = 40
 
@@ -86,8 +90,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: a row for each piece of a document in a sequence."""
-    return pack(docs)
+    """Packing: a row for each piece of a document in a sequence. Workers have served four stages by now, so chunks are small."""
+    return pack(docs, chunk=CHUNK, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -49,3 +49,15 @@ def test_small_groups_stay_together(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, None), (None, ""), (3, "x" * 500_000), (3, "x" * 500_000), (4, "é")], [(1, "a")] * 50])
 def test_edges(spark, rows):
     check(rows, run(spark, rows))
+
+
+def test_bins_are_even_under_null_ids_and_equal_texts(spark):
+    from pyspark.sql import functions as F
+
+    from catalith.llm import sharding as m
+
+    rows = [(None, f"text {i}") for i in range(20_000)] + [(i, "same text") for i in range(20_000)]
+    keys = m.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    bins = keys.groupBy(F.pmod(F.xxhash64("h", "k"), F.lit(64)).alias("bin")).count().toPandas()["count"]
+    assert len(bins) == 64 and bins.max() <= 2 * bins.median()
+    check(rows, run(spark, rows))
