@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog", "discovery", "documents", "evaluation", "records", "outcomes", "web", "reports")
+MODULES = ("catalog", "discovery", "documents", "evaluation", "records", "outcomes", "web", "reports", "schemas")
 
 
 def _modules():
