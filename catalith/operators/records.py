@@ -34,13 +34,18 @@ def table_rows(cells: DataFrame) -> DataFrame:
 
     cells: page, table_index, row_index, column_index, is_header, text. Of a cell given twice, the smaller text counts.
     """
-    cells = cells.groupBy("page", "table_index", "row_index", "column_index").agg(F.bool_or("is_header").alias("is_header"), F.min("text").alias("text"))
+    cells = _single(cells)
     width = cells.groupBy("page", "table_index").agg((F.max("column_index") + 1).alias("width"))
     packed = cells.groupBy("page", "table_index", "row_index").agg(F.bool_or("is_header").alias("is_header"), F.map_from_entries(F.collect_list(F.struct("column_index", "text"))).alias("by"))
     cell = lambda i: F.coalesce(F.try_element_at("by", i), F.lit(""))
     return packed.join(width, ["page", "table_index"]).select("page", "table_index", "row_index", "is_header", F.transform(F.sequence(F.lit(0), F.col("width") - 1), cell).alias("row"))
 
 
+def _single(cells: DataFrame) -> DataFrame:
+    """Each cell once; of one given twice, the smaller text counts."""
+    return cells.groupBy("page", "table_index", "row_index", "column_index").agg(F.bool_or("is_header").alias("is_header"), F.min("text").alias("text"))
+
+
 def row_evidence(claims: DataFrame, cells: DataFrame) -> DataFrame:
     """Body rows that name a claim's product in a cell: claim_id, table_index, row_index, identity_column, identity_cell, text.
 
@@ -51,7 +56,7 @@ def row_evidence(claims: DataFrame, cells: DataFrame) -> DataFrame:
     filled = F.concat_ws(" ", F.filter("row", lambda x: F.trim(x) != ""))
     rows = table_rows(cells).withColumn("text", filled)
     headers = rows.where("is_header").groupBy("page", "table_index").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("row_index", "text"))), lambda x: x["text"])).alias("header"))
-    named = cells.where("NOT is_header").withColumn("_key", T.canonical_mpn("text")).where("_key IS NOT NULL")
+    named = _single(cells).where("NOT is_header").withColumn("_key", T.canonical_mpn("text")).where("_key IS NOT NULL")
     wanted = claims.select("claim_id", "page", T.canonical_mpn("mpn").alias("_key")).where("_key IS NOT NULL")
     first = named.join(wanted, ["page", "_key"]).groupBy("claim_id", "page", "table_index", "row_index").agg(F.min(F.struct("column_index", "text")).alias("cell"))
     out = first.join(rows.where("NOT is_header").select("page", "table_index", "row_index", "text"), ["page", "table_index", "row_index"]).join(headers, ["page", "table_index"], "left")
@@ -94,15 +99,27 @@ def in_slots(facts: DataFrame, by: list[str], capacity: int) -> DataFrame:
 
 
 def assembly_summary(facts: DataFrame, by: list[str], capacity: int) -> DataFrame:
-    """Counts of each record's facts by decision, and its contested targets, sorted."""
+    """Counts of each record's facts by decision, its contested targets, sorted, and the problem that stops its being written.
+
+    problem: CONTESTED_TARGET where two source keys are committed to one target (conflicts weren't resolved), else
+    SLOT_CAPACITY where more is committed than there are slots, else null. Nothing is written where there is one:
+    a row with some of its verified facts would look complete. Facts are summed by record and target first, so a hot
+    target is one row for each task.
+    """
     count = lambda d: F.count_if(F.col("decision") == d)
+    commit = F.col("decision") == "COMMIT"
     contested = F.col("reason").isin("CONFLICT", "MULTIPLE_OPERATING_POINTS") & F.col("target").isNotNull()
-    targets = F.array_sort(F.collect_set(F.when(contested, F.col("target"))))
-    sums = facts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("input_facts"), F.count_if("verified").alias("verified"), count("COMMIT").alias("committed"), count("WITHHOLD").alias("withheld"),
-        count("UNMAPPED").alias("unmapped"), count("REVIEW").alias("review"), targets.alias("contested_targets"),
+    targets = facts.groupBy(*by, "target").agg(
+        F.count(F.lit(1)).alias("input_facts"), F.count_if("verified").alias("verified"), count("COMMIT").alias("committed"), count("WITHHOLD").alias("withheld"), count("UNMAPPED").alias("unmapped"),
+        count("REVIEW").alias("review"), F.bool_or(contested).alias("_conflict"), (F.min(F.when(commit, F.col("source_key"))) != F.max(F.when(commit, F.col("source_key")))).alias("_two"),
+    )
+    sums = targets.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("input_facts", "verified", "committed", "withheld", "unmapped", "review")],
+        F.array_sort(F.collect_set(F.when(F.col("_conflict"), F.col("target")))).alias("contested_targets"), F.coalesce(F.bool_or("_two"), F.lit(False)).alias("_two"),
     )
-    written = F.least(F.col("committed"), F.lit(capacity)).cast("long")
+    problem = F.when(F.col("_two"), "CONTESTED_TARGET").when(F.col("committed") > capacity, "SLOT_CAPACITY")
+    sums = sums.withColumn("problem", problem).drop("_two")
+    written = F.when(F.col("problem").isNull(), F.col("committed")).otherwise(0).cast("long")
     return sums.withColumns({"conflicts": F.size("contested_targets").cast("long"), "attributes_written": written, "slots_available": F.lit(capacity).cast("long")})
 
 

@@ -171,8 +171,10 @@ ORACLE_SQL = {
     "assembly_slots": f"""WITH {_FACTS} SELECT l_orderkey, target, source_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY priority, target, source_key) AS slot, count(*) OVER (PARTITION BY l_orderkey, target) > 1 AS contested,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY priority, target, source_key) <= {CAPACITY} AS fits FROM f WHERE decision = 'COMMIT'""",
     "assembly_summary": f"""WITH {_FACTS}, s AS (SELECT l_orderkey, count(*) AS input_facts, count(*) FILTER (verified) AS verified, count(*) FILTER (decision = 'COMMIT') AS committed, count(*) FILTER (decision = 'WITHHOLD') AS withheld, count(*) FILTER (decision = 'UNMAPPED') AS unmapped,
-        count(*) FILTER (decision = 'REVIEW') AS review, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (contest), '') AS contested_targets, count(DISTINCT target) FILTER (contest) AS conflicts FROM f GROUP BY 1)
-        SELECT *, least(committed, {CAPACITY}) AS attributes_written, {CAPACITY}::BIGINT AS slots_available FROM s""",
+        count(*) FILTER (decision = 'REVIEW') AS review, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (contest), '') AS contested_targets, count(DISTINCT target) FILTER (contest) AS conflicts FROM f GROUP BY 1),
+        t AS (SELECT DISTINCT l_orderkey, true AS two FROM f WHERE decision = 'COMMIT' GROUP BY l_orderkey, target HAVING count(DISTINCT source_key) > 1),
+        p AS (SELECT s.*, CASE WHEN two THEN 'CONTESTED_TARGET' WHEN committed > {CAPACITY} THEN 'SLOT_CAPACITY' END AS problem FROM s LEFT JOIN t USING (l_orderkey))
+        SELECT *, CASE WHEN problem IS NULL THEN committed ELSE 0 END AS attributes_written, {CAPACITY}::BIGINT AS slots_available FROM p""",
     "coverage_report": """WITH s AS (SELECT l_suppkey, count(*) AS features_total, count(*) FILTER (l_partkey % 3 = 0) AS applicable_total, count(*) FILTER (l_partkey % 3 = 1) AS not_applicable_total, count(*) FILTER (l_partkey % 3 = 2) AS unknown_total,
         count(*) FILTER (l_partkey % 6 = 0) AS accepted_total, count(*) FILTER (l_linenumber = 1) AS critical_total, count(*) FILTER (l_linenumber = 1 AND l_partkey % 3 = 0) AS critical_applicable, count(*) FILTER (l_linenumber = 1 AND l_partkey % 6 = 0) AS critical_accepted FROM lineitem GROUP BY 1)
         SELECT *, round(accepted_total / nullif(applicable_total, 0), 9) AS feature_coverage, round(critical_accepted / nullif(critical_applicable, 0), 9) AS critical_coverage, NULL::VARCHAR AS problem FROM s""",
