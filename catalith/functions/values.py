@@ -78,17 +78,17 @@ def parse_range(c) -> Column:
     return F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi"), F.nullif(g(3), F.lit("")).alias("unit")))
 
 
-#: op, number, unit of one stated quantity. A digit that an identifier's dash leads to isn't one.
-QUANTITY = r"(<=|>=|≤|≥|<|>|=)?\s*(?<![A-Za-z0-9.,])(?<![A-Za-z0-9]-)([+-]?[0-9]+(?:[.,][0-9]+)?)(?:\s*(°[CF]|[A-Za-zµΩ%][A-Za-z0-9µΩ°/%-]*))?"
+_OP, _AMOUNT, _UNIT = "<=|>=|≤|≥|<|>|=", r"[+-]?[0-9]+(?:[.,][0-9]+)?", "°[CF]|[A-Za-zµΩ%][A-Za-z0-9µΩ°/%-]*"
+#: op, number, unit of one stated quantity. A digit that an identifier's dash leads to isn't one. White space is looked at behind an operator and before a unit alone.
+QUANTITY = rf"(?:({_OP})\s*)?(?<![A-Za-z0-9.,])(?<![A-Za-z0-9]-)({_AMOUNT})(?:\s*({_UNIT}))?"
 
 
 def quantities(df: DataFrame, c: str) -> DataFrame:
-    """A row for each quantity: op, number, unit beside the columns of df."""
-    group = lambda i: F.regexp_extract_all(F.col(c), F.lit(QUANTITY), F.lit(i))
-    found = F.arrays_zip(group(1).alias("op"), group(2).alias("number"), group(3).alias("unit"))
-    out = df.withColumn("_q", F.explode(found))
-    number = F.replace(F.col("_q.number"), F.lit(","), F.lit("."))
-    return out.withColumns({"op": F.nullif(F.col("_q.op"), F.lit("")), "number": number.cast("double"), "unit": F.nullif(F.col("_q.unit"), F.lit(""))}).drop("_q")
+    """A row for each quantity: op, number, unit beside the columns of df. Texts are read once; only what was found is taken apart."""
+    out = df.withColumn("_q", F.explode(F.regexp_extract_all(F.col(c), F.lit(QUANTITY), F.lit(0))))
+    part = lambda i: F.regexp_extract("_q", rf"^({_OP})?\s*({_AMOUNT})\s*({_UNIT})?$", i)
+    number = F.replace(part(2), F.lit(","), F.lit("."))
+    return out.withColumns({"op": F.nullif(part(1), F.lit("")), "number": number.cast("double"), "unit": F.nullif(part(3), F.lit(""))}).drop("_q")
 
 
 def magnitudes_agree(a, b) -> Column:

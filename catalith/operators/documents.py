@@ -21,24 +21,59 @@ def integrity(pages: DataFrame, text: str, recorded: str) -> DataFrame:
     return pages.withColumn("status", F.when(F.col(recorded).isNull(), "MISSING_HASH").when(own != F.col(recorded), "HASH_DRIFT").otherwise("OK"))
 
 
+#: Quotes of one or two words that are sent to all executors at most; more are joined by their first letters.
+BROADCAST_QUOTES = 1_000
+#: Letters of a short quote that it is joined by.
+LETTERS = 4
+
+
+def _by_inner_words(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:
+    """(id_col, quote_id) of quotes of three words or more that a text may hold: the text has up to three of the quote's inner words in a row."""
+    words = F.split(F.col(quote), " ")
+    inner = F.slice(words, 2, F.least(F.size(words) - 2, F.lit(3)))
+    keyed = quotes.select(quote_id, F.size(inner).alias("_n"), F.xxhash64(inner).alias("_k"))
+    w = F.col("_w")
+    lengths = [r["_n"] for r in keyed.select("_n").distinct().collect()]  # 1, 2 or 3
+    split = docs.select(id_col, F.split(F.col(text), " ").alias("_w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("_k")))
+    found = [split.where(F.size("_w") >= n).select(id_col, F.inline(F.array_distinct(runs(n)))) for n in lengths]
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, {quote_id} {dict(quotes.dtypes)[quote_id]}")
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.unionByName(f)
+    return all_.join(keyed, ["_n", "_k"]).select(id_col, quote_id).distinct()
+
+
+def _by_letters(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:
+    """(id_col, quote_id) of short quotes whose first letters a text holds."""
+    keyed = quotes.select(quote_id, F.substring(quote, 1, LETTERS).alias("_g"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    out = None
+    for n in range(1, LETTERS + 1):
+        own = docs.where(F.length(text) >= n).select(id_col, F.explode(F.array_distinct(grams(n))).alias("_g")).join(keyed.where(F.length("_g") == n), "_g").select(id_col, quote_id)
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
 def locate_quotes(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:
     """Pairs of a text and a quote that it holds, with the first place (1-based) and what surrounds it.
 
-    The second to fourth of a quote's space-separated words are whole words of any text that
-    holds it, so quotes of five words or more meet texts by an equi-join on the hash of those
-    three. Shorter quotes have no such key; they are compared with every text, as a broadcast.
-    Only ids and hashes are exploded; texts join the pairs that are left. Ids are unique.
+    All but the first and last of a quote's space-separated words are whole words of any text that
+    holds it, so quotes of three words or more meet texts by an equi-join on the hash of up to
+    three of them. Shorter quotes are compared with every text if they are few, else they meet texts
+    by their first letters. Only ids and hashes are exploded; texts join the pairs that are left. Ids
+    are unique; a null or empty quote is in no text.
     """
-    words = F.split(F.col(quote), " ")
-    keyable = F.size(words) >= 5
-    keyed = quotes.where(keyable).withColumn("_k", F.xxhash64(F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3))))
-    w = F.col("_w")
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    split = docs.select(id_col, F.split(F.col(text), " ").alias("_w")).where(F.size("_w") >= 3)
-    pairs = split.select(id_col, F.explode(F.array_distinct(runs)).alias("_k")).join(keyed.select(quote_id, "_k"), "_k").select(id_col, quote_id).distinct()
-    near = docs.join(pairs, id_col).join(quotes, quote_id).where(F.col(text).contains(F.col(quote)))
-    far = docs.join(F.broadcast(quotes.where(~keyable)), F.col(text).contains(F.col(quote)))
-    found = near.unionByName(far)
+    quotes = quotes.where(F.length(quote) > 0)
+    keyable = F.size(F.split(F.col(quote), " ")) >= 3
+    pairs, short = _by_inner_words(docs, quotes.where(keyable), text, quote, id_col, quote_id), quotes.where(~keyable)
+    few = short.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES
+    if not few:
+        pairs = pairs.unionByName(_by_letters(docs, short, text, quote, id_col, quote_id))
+    found = docs.join(pairs, id_col).join(quotes, quote_id).where(F.col(text).contains(F.col(quote)))
+    if few:
+        found = found.unionByName(docs.join(F.broadcast(short), F.col(text).contains(F.col(quote))))
     found = found.withColumn("at", F.position(F.col(quote), F.col(text)))
     return found.withColumn("context", excerpt(text, "at", 60, F.length(quote)))
 

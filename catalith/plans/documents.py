@@ -139,6 +139,9 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM documents))""",
     "phrase_boundary": """WITH p AS (SELECT doc_id, regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]of the[^\\pL\\pN/_+-]') AS of_the, regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]licensed[^\\pL\\pN/_+-]') AS licensed,
         regexp_matches(concat(' ', text, ' '), '[^\\pL\\pN/_+-]4\\.0[^\\pL\\pN/_+-]') AS four FROM documents) SELECT * FROM p WHERE of_the OR licensed OR four""",
+    "quantities": r"""WITH q AS (SELECT unnest(regexp_extract_all(text, '(?:(?:<=|>=|≤|≥|<|>|=)\s*|^|[^A-Za-z0-9.,-]|^-|[^A-Za-z0-9]-)([+-]?[0-9]+(?:[.,][0-9]+)?(?:\s*(?:°[CF]|[A-Za-zµΩ%][A-Za-z0-9µΩ°/%-]*))?)', 1)) AS q FROM documents),
+        s AS (SELECT replace(regexp_extract(q, '^[+-]?[0-9]+(?:[.,][0-9]+)?'), ',', '.')::DOUBLE AS number, nullif(regexp_extract(q, '^[+-]?[0-9]+(?:[.,][0-9]+)?\s*(.*)$', 1), '') AS unit FROM q)
+        SELECT unit, count(*) AS n, CASE WHEN abs(max(number)) < 1e12 THEN round(max(number), 3) ELSE max(number) END AS largest FROM s GROUP BY 1""",
     "value_parse": f"""{_EV} SELECT event_id, CASE WHEN shape IN (0, 1) THEN x::BIGINT END AS whole, CASE WHEN shape IN (0, 1) THEN x::DOUBLE WHEN shape = 6 THEN x::DOUBLE * 10 END AS number,
         CASE WHEN shape = 4 OR (shape IN (0, 1) AND x = '1') THEN true WHEN shape = 5 OR (shape IN (0, 1) AND x = '0') THEN false END AS flag, CASE shape WHEN 2 THEN 'mm' WHEN 3 THEN 'to 50 V' END AS unit,
         CASE WHEN shape = 3 AND x::DOUBLE <= 50 THEN x::DOUBLE END AS lo, CASE WHEN shape = 3 AND x::DOUBLE <= 50 THEN 50.0::DOUBLE END AS hi FROM r""",

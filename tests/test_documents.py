@@ -28,3 +28,18 @@ def test_all_positions(spark):
     for needle in ("anan", "aa", ".", "\\E", "(a", "n", "😀"):
         rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", all_positions(F.col("text"), needle).alias("at")).collect()
         assert all(r.at == (None if r.text is None else [i + 1 for i in range(len(r.text)) if r.text.startswith(needle, i)]) for r in rows)
+
+
+def test_quotes_of_any_length(spark, monkeypatch):
+    """Short and long quotes, few and many: every text that holds a quote is found, at its first place."""
+    from catalith.operators import documents as D
+
+    texts = [(1, "one two three four five six seven"), (2, "xone twos"), (3, "three four"), (4, ""), (5, None), (6, "a b c d a b c"), (7, "aab cc"), (8, "six seven one two three"), (9, "two  three")]
+    quotes = [(i, q) for i, q in enumerate(["one two three four five six", "two three four five", "wo three fou", "one two", "e", "a b", "ab c", "three", "a b c", "", None, "two  three", "seven one", "zz", "ne tw"])]
+    docs, asked = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(quotes, "q int, quote string")
+    want = sorted((d, q, t.find(s) + 1) for d, t in texts for q, s in quotes if t and s and s in t)
+    for most in (1_000, 0):
+        monkeypatch.setattr(D, "BROADCAST_QUOTES", most)
+        got = sorted((r.doc_id, r.q, r.at) for r in D.locate_quotes(docs, asked, "text", "quote", "doc_id", "q").collect())
+        assert got == want
+    assert D.locate_quotes(docs, asked.limit(0), "text", "quote", "doc_id", "q").count() == 0
