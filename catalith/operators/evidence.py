@@ -71,17 +71,17 @@ def resolve_conflicts(facts: DataFrame, target: list[str], point: str, value: st
     Sizes and spreads are summed by target before they meet the facts (min and max tell whether
     a column differs), so a hot target costs each task one row.
     """
-    stats = facts.groupBy(*target).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{a}_{b}") for b, c in (("p", point), ("v", value)) for a, f in (("lo", F.min), ("hi", F.max), ("has", F.count))])
-    keep = facts.groupBy(*target).agg(F.min(F.struct(*order)).alias("keep"))
+    stats = facts.groupBy(*target).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{a}_{b}") for b, c in (("p", point), ("v", value)) for a, f in (("lo", F.min), ("hi", F.max), ("has", F.count))])
+    keep = facts.groupBy(*target).agg(F.min(F.struct(*order)).alias("_keep"))
     df = facts.join(stats, target).join(keep, target)
-    first = F.struct(*order) == F.col("keep")
+    first = F.struct(*order) == F.col("_keep")
     # A fact without a value or point doesn't agree with one that has it; min and max skip nulls, so they are counted.
-    differ = lambda b: (F.col(f"lo_{b}") != F.col(f"hi_{b}")) | ((F.col(f"has_{b}") > 0) & (F.col(f"has_{b}") < F.col("n")))
+    differ = lambda b: (F.col(f"_lo_{b}") != F.col(f"_hi_{b}")) | ((F.col(f"_has_{b}") > 0) & (F.col(f"_has_{b}") < F.col("_n")))
     outcome = (
-        F.when(F.col("n") == 1, "COMMIT").when(differ("p"), "MULTIPLE_OPERATING_POINTS").when(differ("v"), "CONFLICT")
+        F.when(F.col("_n") == 1, "COMMIT").when(differ("p"), "MULTIPLE_OPERATING_POINTS").when(differ("v"), "CONFLICT")
         .when(first, "COMMIT").otherwise("DUPLICATE_MERGED")
     )
-    return df.withColumn("outcome", outcome).drop("n", "lo_p", "hi_p", "has_p", "lo_v", "hi_v", "has_v", "keep")
+    return df.withColumn("outcome", outcome).drop("_n", "_lo_p", "_hi_p", "_has_p", "_lo_v", "_hi_v", "_has_v", "_keep")
 
 
 def slots(facts: DataFrame, by: list[str], order: list, capacity: int) -> DataFrame:
