@@ -40,6 +40,8 @@ HASHES = 64
 BLOCK = 256
 #: Candidate texts whose hash is broadcast at most (about 100 bytes each in a join's table); beyond it both sides of the join are shuffled.
 BROADCAST_TEXTS = 1_000_000
+#: Grams of either side of a comparison that are held sorted at once.
+GRAMS = 500_000
 #: Keys that a task remembers to send a copy once; beyond it a few more copies are sent, which do no harm.
 REMEMBERED = 1_000_000
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 64, (1024, 1), dtype=np.uint64) | np.uint64(1)
@@ -173,8 +175,32 @@ def _pairs_due(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Tabl
     return table.filter(pa.array(keep))
 
 
+def _parts(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places in runs of at most GRAMS grams (or of one place)."""
+    ends = np.cumsum(sizes)
+    out, at = [], 0
+    while at < len(sizes):
+        before = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, before + GRAMS, side="right")))
+        out.append(np.arange(at, to))
+        at = to
+    return out
+
+
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets left x right."""
+    """Sizes of the intersections of sets left x right, a bounded number of grams at once."""
+    sizes = np.array(list(map(len, sets)))
+    if sizes.sum() <= 2 * GRAMS:
+        return _overlaps_at_once(sets, left, right)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in _parts(sizes[left]):
+        for b in _parts(sizes[right]):
+            used, place = np.unique(np.concatenate([left[a], right[b]]), return_inverse=True)
+            out[np.ix_(a, b)] = _overlaps_at_once([sets[i] for i in used], place[: len(a)], place[len(a) :])
+    return out
+
+
+def _overlaps_at_once(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if i != j else len(sets[i]) for j in right] for i in left], np.float32)
     row = np.repeat(np.arange(len(sets)), list(map(len, sets)))

@@ -77,3 +77,18 @@ def test_empty_table(spark):
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     same(op9_ngram_join(spark, folder), ORACLE_SQL["op9_ngram_join"], folder)
+
+
+def test_overlaps_in_parts(monkeypatch):
+    import numpy as np
+
+    from catalith.llm import ngram_join as m
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (5, 400, 0, 80, 300, 1, 700, 60, 200, 9)]
+    for left, right in ((np.arange(10), np.arange(10)), (np.array([1, 3, 6]), np.array([0, 2, 4, 5, 7]))):
+        want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
+        other = np.not_equal.outer(left, right)  # a set is never compared with itself
+        for grams in (10**6, 300, 1):
+            monkeypatch.setattr(m, "GRAMS", grams)
+            assert (m._overlaps(sets, left, right) == want)[other].all()
