@@ -109,13 +109,17 @@ def excerpt(text, at, around: int = 60, length=0) -> Column:
 
 
 def format_g(c) -> Column:
-    """A number as %g writes it, for magnitudes from 1e-4 to 1e6."""
+    """A number as %g writes it: six digits, plain for magnitudes from 1e-4 to 1e6, else with an exponent; no zeros at the end. Halves are rounded up."""
     x = col(c).cast("double")
-    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300)))).cast("int"))
-    fixed = F.when(digits == 0, F.format_string("%.0f", x))
+    wide = F.format_string("%.5e", x)
+    e = F.regexp_extract(wide, r"e([+-]\d+)$", 1).try_cast("int")
+    bare = lambda text: F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    fixed = F.when(e == 5, F.format_string("%.0f", x))
     for d in range(1, 10):
-        fixed = fixed.when(digits == d, F.format_string(f"%.{d}f", x))
-    return F.when(x == 0, F.lit("0")).otherwise(F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed))
+        fixed = fixed.when(e == 5 - d, F.format_string(f"%.{d}f", x))
+    parts = F.concat(bare(F.regexp_extract(wide, r"^(.*)e", 1)), F.regexp_extract(wide, r"(e[+-]\d+)$", 1))
+    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0")
+    return F.when(special.isNotNull(), special).otherwise(F.when((e < -4) | (e > 5), parts).otherwise(bare(fixed)))
 
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿"))

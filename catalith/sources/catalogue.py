@@ -15,6 +15,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from catalith.operators.catalogue import FIELDS
 
 
+#: Lines that a header record may take.
+HEADER_LINES = 50
+
+
 class HeaderError(ValueError):
     """A header that lacks a required column or has one twice."""
 
@@ -22,11 +26,13 @@ class HeaderError(ValueError):
 def first_record(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",") -> list[str]:
     """The header record of a delimited file, read by Spark so that any store works; it may hold quoted line ends."""
     head, quotes = "", 0
-    for row in spark.read.option("encoding", encoding).text(path).limit(50).toLocalIterator():
+    for row in spark.read.option("encoding", encoding).text(path).limit(HEADER_LINES).toLocalIterator():
         head += ("\n" if head else "") + row.value
         quotes = head.count('"')
         if quotes % 2 == 0:
             break
+    if quotes % 2:
+        raise HeaderError(f"a quote in the header isn't closed within {HEADER_LINES} lines")
     return next(csv.reader(io.StringIO(head.removeprefix("﻿")), delimiter=sep), [])
 
 

@@ -89,7 +89,12 @@ def load_taxonomy(spark: SparkSession, path: str, encoding: str = "utf-16") -> d
 
         return archive.mapInPandas(rows, ", ".join(f"{c} string" for c in columns))
 
-    out = {name: table(name, columns) for name, columns in TAXONOMY.items()}
+    return taxonomy({name: table(name, columns) for name, columns in TAXONOMY.items()})
+
+
+def taxonomy(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, `issues` (ids that point nowhere), `class_features` in their order and `allowed_values`; what dangles is in no other."""
+    out = dict(tables)
     dangling = lambda a, b, key: out[a].where(F.col(key).isNotNull()).join(out[b].select(key), key, "left_anti").select(F.lit(a).alias("table"), F.lit(b).alias("missing_in"), F.col(key).alias("id")).distinct()
     links = (("class", "group", "GROUPID"), ("synonym", "class", "CLASSID"), ("classfeature", "class", "CLASSID"), ("classfeature", "feature", "FEATUREID"), ("classfeature", "unit", "UNITID"), ("classfeaturevalue", "value", "VALUEID"), ("classfeaturevalue", "classfeature", "MAPID"))
     issues = dangling(*links[0])
@@ -107,9 +112,9 @@ def load_taxonomy(spark: SparkSession, path: str, encoding: str = "utf-16") -> d
 def validate_values(claims: DataFrame, taxonomy: dict[str, DataFrame]) -> DataFrame:
     """claims (CLASSID, FEATUREID, value, unit) with issue: null, UNKNOWN_FEATURE, NOT_A_NUMBER, NOT_FINITE, UNIT_MISSING, UNIT_UNEXPECTED, NOT_A_BOOLEAN, NOT_IN_PICKLIST."""
     features, allowed = taxonomy["class_features"], taxonomy["allowed_values"]
-    df = claims.join(F.broadcast(features.select("CLASSID", "FEATUREID", "FEATURETYPE", "UNITABBREV")), ["CLASSID", "FEATUREID"], "left")
+    df = claims.join(features.select("CLASSID", "FEATUREID", "FEATURETYPE", "UNITABBREV"), ["CLASSID", "FEATUREID"], "left")
     picks = allowed.groupBy("CLASSID", "FEATUREID").agg(F.collect_set(F.lower("VALUEDESC")).alias("picks"))
-    df = df.join(F.broadcast(picks), ["CLASSID", "FEATUREID"], "left")
+    df = df.join(picks, ["CLASSID", "FEATUREID"], "left")
     number, kind = F.col("value").try_cast("double"), F.col("FEATURETYPE")
     issue = (
         F.when(kind.isNull(), "UNKNOWN_FEATURE")
