@@ -46,9 +46,9 @@ def adjudicate(outcomes: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds decision and reason of verified facts under mapping rules; the first refusal in order counts.
 
     outcomes: identity_exact, verified, source_key, kind, conditions (map), unit.
-    rules: source_key, target, priority, expected_kind, policy, required (map), target_unit; few, so broadcast.
+    rules: source_key, target, priority, expected_kind, policy, required (map), target_unit.
     """
-    df = outcomes.join(F.broadcast(rules), "source_key", "left")
+    df = outcomes.join(rules, "source_key", "left")
     same = lambda a, b: F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
     none = F.size(F.coalesce("conditions", F.create_map().cast("map<string,string>"))) == 0
     kept = F.when(F.col("policy") == "PRESERVE", F.lit(True)).when(F.col("policy") == "ENCODES", F.coalesce(same("conditions", "required"), F.lit(False))).otherwise(none)
@@ -237,8 +237,8 @@ def value_present(text: Column, value: Column, uom: Column, structured: Column)
 def schema_ordered(rows: DataFrame, positions: DataFrame, key: str) -> DataFrame:
     """Adds place: rows in the order of a schema (key, position), unknown keys after it by name."""
     w = Window.orderBy(F.coalesce("position", F.lit(2**31 - 1)), key)
-    named = rows.select(key).distinct().join(F.broadcast(positions.select(key, "position")), key, "left").withColumn("place", F.row_number().over(w))
-    return rows.join(F.broadcast(named.select(key, "place")), key)
+    named = rows.select(key).distinct().join(positions.select(key, "position"), key, "left").withColumn("place", F.row_number().over(w))
+    return rows.join(named.select(key, "place"), key)
 
 
 def preferred(candidates: DataFrame, by: list[str]) -> DataFrame:

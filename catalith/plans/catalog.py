@@ -153,8 +153,10 @@ def row_validation(spark, sf_dir):
 
 
 def name_code_cardinality(spark, sf_dir):
-    rows = C.parse_manufacturer(catalogue(spark, sf_dir)).where("manuf_status = 'NAME_WITH_CODE'").withColumn("name", F.substring("manuf_name", 1, 12))
-    return rows.groupBy("name").agg(F.count_distinct("manuf_code").alias("codes"), F.count(F.lit(1)).alias("n")).where("codes > 1")
+    """Manufacturers that come with more than one code; some rows give theirs another one."""
+    other = F.when(F.col("row_number") % 37 == 7, F.replace("Part_Manuf", F.lit("(S"), F.lit("(T"))).otherwise(F.col("Part_Manuf"))
+    rows = C.parse_manufacturer(catalogue(spark, sf_dir).withColumn("Part_Manuf", other)).where("manuf_status = 'NAME_WITH_CODE'")
+    return rows.groupBy(F.col("manuf_name").alias("name")).agg(F.count_distinct("manuf_code").alias("codes"), F.count(F.lit(1)).alias("n")).where("codes > 1")
 
 
 def brand_source_patterns(spark, sf_dir):
@@ -241,7 +243,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'customer', c_custkey, concat(c_name, CASE c_custkey % 3 WHEN 0 THEN ' Co., Inc.' WHEN 1 THEN ' USA LLC' ELSE '  GmbH' END) FROM customer)
         SELECT side, id, {_SUFFIXED('name', T.LEGAL_SUFFIXES)} AS legal_key, {_SUFFIXED('name', T.HINT_SUFFIXES)} AS hint_key FROM x""",
     "row_validation": "SELECT p_partkey AS row_number, concat_ws(',', CASE WHEN same > 1 THEN 'DUPLICATE_MPN' END, CASE WHEN p_partkey % 10 = 0 THEN 'BLANK_BRAND' END) AS issues, same FROM (SELECT p_partkey, count(*) OVER (PARTITION BY upper(p_name)) AS same FROM part)",
-    "name_code_cardinality": f"{_WITH}, {_MANUF} SELECT substr(manuf_name, 1, 12) AS name, count(DISTINCT manuf_code) AS codes, count(*) AS n FROM manufs WHERE manuf_status = 'NAME_WITH_CODE' GROUP BY 1 HAVING codes > 1",
+    "name_code_cardinality": f"{_WITH}, {_MANUF} SELECT manuf_name AS name, count(DISTINCT CASE WHEN row_number % 37 = 7 THEN 'T' || substr(manuf_code, 2) ELSE manuf_code END) AS codes, count(*) AS n FROM manufs WHERE manuf_status = 'NAME_WITH_CODE' GROUP BY 1 HAVING codes > 1",
     "brand_source_patterns": f"{_WITH} SELECT concat_ws('+', CASE WHEN {_USABLE('e1')} IS NOT NULL THEN 'E1_Brand' END, CASE WHEN {_USABLE('uni')} IS NOT NULL THEN 'Unilog_Brand' END, CASE WHEN {_USABLE('dib')} IS NOT NULL THEN 'DIB_Brand' END) AS pattern, count(*) AS n FROM cat GROUP BY 1",
     "one_row_per_manufacturer": f"{_WITH}, {_MANUF} SELECT row_number, manuf_name, mpn AS \"Mfg_Part_Num\" FROM manufs JOIN cat USING (row_number) WHERE manuf_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(manuf_name) ORDER BY row_number) = 1",
     "sample_mpns": f"{_WITH}, {_MANUF} SELECT manuf_code, count(*) AS n, max_by(manuf_name, row_number) AS last_name, array_to_string(list(mpn ORDER BY row_number)[1:5], ',') AS samples FROM manufs JOIN cat USING (row_number) WHERE manuf_code IS NOT NULL GROUP BY 1",

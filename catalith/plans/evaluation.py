@@ -72,9 +72,10 @@ def attribute_unpivot_pivot(spark, sf_dir):
 
 
 def wide_record(spark, sf_dir):
-    """A record for each customer, with how many orders are beyond its capacity."""
+    """A record for each customer; what is beyond its capacity comes back in its order."""
     orders = V.slots(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderkey"], CAPACITY)
-    beyond = orders.groupBy("o_custkey").agg(F.count_if(~F.col("fits")).alias("beyond"))
+    rest = F.filter(F.array_sort(F.collect_list(F.struct("slot", F.col("o_orderpriority").alias("label")))), lambda x: x["slot"] > CAPACITY)
+    beyond = orders.groupBy("o_custkey").agg(F.count_if(~F.col("fits")).alias("beyond"), F.array_join(F.transform(rest, lambda x: x["label"]), "|").alias("rest"))
     return V.to_wide(orders, ["o_custkey"], "slot", {"label": "o_orderpriority"}, CAPACITY).join(beyond, "o_custkey")
 
 
@@ -149,7 +150,7 @@ ORACLE_SQL = {
                   WHEN k = 2 OR (k = 1 AND NOT two) THEN 'CONDITION_LOSS' WHEN k = 0 AND NOT mm THEN 'UNIT_INCOMPATIBLE' ELSE 'ELIGIBLE' END AS reason FROM f)
         SELECT CASE reason WHEN 'IDENTITY_NOT_EXACT' THEN 'WITHHOLD' WHEN 'VERIFICATION_FAILED' THEN 'WITHHOLD' WHEN 'NO_MAPPING' THEN 'UNMAPPED' WHEN 'ELIGIBLE' THEN 'COMMIT' ELSE 'REVIEW' END AS decision, reason, count(*) AS n FROM r GROUP BY 1, 2""",
     "attribute_unpivot_pivot": f"WITH {_SLOTS} SELECT o_custkey, slot, o_orderpriority AS label, o_orderstatus AS value, slot <= {CAPACITY} AS fits FROM s",
-    "wide_record": f"WITH {_SLOTS} SELECT o_custkey, {', '.join(f'max(o_orderpriority) FILTER (slot = {i}) AS label_{i}' for i in range(1, CAPACITY + 1))}, count(*) FILTER (slot > {CAPACITY}) AS beyond FROM s GROUP BY 1",
+    "wide_record": f"WITH {_SLOTS} SELECT o_custkey, {', '.join(f'max(o_orderpriority) FILTER (slot = {i}) AS label_{i}' for i in range(1, CAPACITY + 1))}, count(*) FILTER (slot > {CAPACITY}) AS beyond, coalesce(string_agg(o_orderpriority, '|' ORDER BY slot) FILTER (slot > {CAPACITY}), '') AS rest FROM s GROUP BY 1",
     "identity_disposition": """WITH i AS (SELECT l_suppkey % 20 AS brand, l_partkey AS mpn, l_orderkey AS o, l_linenumber AS l FROM lineitem),
         e AS (SELECT brand, mpn, count(DISTINCT x) AS targets, min(x) AS target FROM (SELECT *, mpn * 10 + CASE WHEN o % 9 = 0 THEN l % 2 ELSE 0 END AS x FROM i WHERE o % 3 = 0) GROUP BY 1, 2),
         c AS (SELECT brand, mpn, count(DISTINCT l % 2) AS keys FROM i WHERE o % 5 = 0 GROUP BY 1, 2), m AS (SELECT brand, mpn, l % 3 AS code, count(DISTINCT l) AS built, min(mpn * 100 + l) AS "full" FROM i WHERE o % 7 = 0 GROUP BY 1, 2, 3),

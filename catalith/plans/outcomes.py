@@ -76,8 +76,10 @@ def corpus_patterns(spark, sf_dir):
 
 
 def registry_authority(spark, sf_dir):
-    registries = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("registry"))
-    return O.authoritative(_entries(spark, sf_dir).where("registry <> 4"), registries)
+    """Registries by region, and as many that have no rules."""
+    regions = read(spark, sf_dir, "region")
+    registries = regions.select(F.col("r_regionkey").alias("registry")).union(regions.select(F.col("r_regionkey") + 10))
+    return O.authoritative(_entries(spark, sf_dir), registries)
 
 
 def evidence_gates(spark, sf_dir):
@@ -123,7 +125,7 @@ ORACLE_SQL = {
     "csv_lines": """SELECT doc_id, concat(doc_id, ',', CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN concat('"', replace(text, '"', '""'), '"') ELSE coalesce(text, '') END, ',', coalesce(lang, '')) AS line FROM documents""",
     "entry_licenses": f"WITH {_ENTRIES} SELECT n_name AS key, ok AS licenses FROM e",
     "corpus_patterns": f"WITH {_ENTRIES} SELECT n_name AS key, concat(w, d, '.example/*') AS pattern FROM e CROSS JOIN (VALUES (''), ('www.')) AS t(w) WHERE ok",
-    "registry_authority": "SELECT r_regionkey AS registry, r_regionkey = 0 AND EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0) AS authoritative FROM region",
+    "registry_authority": "SELECT r_regionkey AS registry, r_regionkey = 0 AND EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0) AS authoritative FROM region UNION ALL SELECT r_regionkey + 10, false FROM region",
     "evidence_gates": """SELECT CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 3 = 1 THEN NULL ELSE 'IDENTITY_NOT_EXACT' END AS refusal, l_partkey % 4 = 0 OR (l_partkey % 4 = 1 AND l_suppkey % 4 = 2) AS scoped, l_suppkey % 5 < 3 AS structured, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 7 END::BIGINT AS number, count(*) AS n
         FROM lineitem GROUP BY ALL""",
     "run_totals": """WITH c AS (SELECT count(*) AS candidates, count(*) FILTER (l_suppkey % 3 < 2) AS manufacturer_hosts, count(*) FILTER (l_partkey % 2 = 0) AS exact, count(*) FILTER (l_suppkey % 5 = 1) AS licensing FROM lineitem JOIN orders ON o_orderkey = l_orderkey)

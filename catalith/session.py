@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: Only for sessions that name no shared folder (tests on one machine).
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's spark.checkpoint.dir, for files that a query writes and reads again; deleted when the process ends."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder, owner = f"{(named or LOCAL_FOLDER).rstrip('/')}/catalith-{uuid.uuid4().hex}", os.getpid()
+
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            if os.getpid() == owner:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(forget)
+    return f"{folder}/{name}"
+
 
 def local_session(cpus: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, ANSI)."""
