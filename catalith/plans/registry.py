@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog", "discovery", "documents", "evaluation", "records", "outcomes", "web", "reports", "schemas", "ruled", "recording", "delivery", "searches", "claims", "registries", "files")
+MODULES = ("catalog", "discovery", "documents", "evaluation", "records", "outcomes", "web", "reports", "schemas", "ruled", "recording", "delivery", "searches", "claims", "registries", "files", "manifests")
 
 
 def _modules():
