@@ -29,20 +29,20 @@ LETTERS = 4
 
 def _by_inner_words(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:
     """(id_col, quote_id) of quotes of three words or more that a text may hold: the text has up to three of the quote's inner words in a row."""
-    words = F.split(F.col(quote), " ")
-    inner = F.slice(words, 2, F.least(F.size(words) - 2, F.lit(3)))
-    keyed = quotes.select(quote_id, F.size(inner).alias("_n"), F.xxhash64(inner).alias("_k"))
-    w = F.col("_w")
-    lengths = [r["_n"] for r in keyed.select("_n").distinct().collect()]  # 1, 2 or 3
+    words, w = F.split(F.col(quote), " "), F.col("_w")
+    key = lambda of, at, n: F.xxhash64(*[F.get(of, at + j) for j in range(n)])
+    size = F.size(words) - 2
+    keyed = quotes.select(quote_id, F.least(size, F.lit(3)).alias("_n"), F.when(size == 1, key(words, F.lit(1), 1)).when(size == 2, key(words, F.lit(1), 2)).otherwise(key(words, F.lit(1), 3)).alias("_k"))
+    lengths = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())  # 1, 2 or 3
     split = docs.select(id_col, F.split(F.col(text), " ").alias("_w"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("_k")))
-    found = [split.where(F.size("_w") >= n).select(id_col, F.inline(F.array_distinct(runs(n)))) for n in lengths]
-    if not found:
+    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: key(w, i, n)))
+    all_ = None
+    for n in lengths:
+        found = split.where(F.size("_w") >= n).select(id_col, F.explode(runs(n)).alias("_k")).join(keyed.where(F.col("_n") == n).select(quote_id, "_k"), "_k").select(id_col, quote_id)
+        all_ = found if all_ is None else all_.unionByName(found)
+    if all_ is None:
         return docs.sparkSession.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, {quote_id} {dict(quotes.dtypes)[quote_id]}")
-    all_ = found[0]
-    for f in found[1:]:
-        all_ = all_.unionByName(f)
-    return all_.join(keyed, ["_n", "_k"]).select(id_col, quote_id).distinct()
+    return all_.distinct()
 
 
 def _by_letters(docs: DataFrame, quotes: DataFrame, text: str, quote: str, id_col: str, quote_id: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from catalith.operators import webattributes as W
 from catalith.plans.catalog import read
+from catalith.session import scratch_folder
 from catalith.sources import artifacts as A
 
 
@@ -45,8 +46,19 @@ def _shaped(spark, sf_dir):
     return df.withColumn("page", page)
 
 
+def _stored(df, name):
+    """df as files: what is parsed or exploded once is read by several joins."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _artifacts(spark, sf_dir):
-    return A.read_artifacts(_shaped(spark, sf_dir), "page_id", html="page")
+    return _stored(A.read_artifacts(_shaped(spark, sf_dir), "page_id", html="page"), "artifacts")
+
+
+def _nodes(artifacts):
+    return _stored(A.json_nodes(artifacts, "page_id"), "nodes")
 
 
 def _proposals(spark, sf_dir):
@@ -82,14 +94,14 @@ def _identities(spark, sf_dir, artifacts):
 def web_verification(spark, sf_dir):
     """Each proposal with its status, reason and what the page says."""
     artifacts = _artifacts(spark, sf_dir)
-    nodes = A.json_nodes(artifacts, "page_id")
+    nodes = _nodes(artifacts)
     out = W.verify_web_attributes(_proposals(spark, sf_dir), "page_id", _rules(spark), _identities(spark, sf_dir, artifacts), nodes, W.property_entries(nodes, "page_id"), A.text_fragments(artifacts, "page_id"))
     return out.select("page_id", "source_key", "raw_value", "raw_uom", "status", "reason", "source_label", "source_value", "source_uom")
 
 
 def _bound(spark, sf_dir):
     artifacts = _artifacts(spark, sf_dir)
-    nodes = A.json_nodes(artifacts, "page_id")
+    nodes = _nodes(artifacts)
     concepts = spark.createDataFrame([(k, kind, "finish" if own else None) for k, kind, _, own, _ in RULES], "source_key string, concept_kind string, variant_name string")
     proposals = _proposals(spark, sf_dir).withColumn("target", F.concat(F.lit("M-"), F.col("page_id").cast("string")))
     twice = proposals.where("page_id % 15 = 4 AND source_key = 'socket'")
