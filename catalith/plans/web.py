@@ -14,8 +14,6 @@ from catalith.plans.catalog import read
 from catalith.session import scratch_folder
 from catalith.sources import artifacts as A
 
-
-
 RULES = (
     ("depth", "NUMBER", ["Depth"], False, []),
     ("height", "NUMBER", ["Height"], False, []),
@@ -234,7 +232,7 @@ ORACLE_SQL |= {
         WITH {_MADE}, nodes AS (
             SELECT replace(replace(replace(fullkey, '$', ''), '.', '/'), '[', '/') AS path, type, atom, key FROM shaped, json_tree(shaped.doc) WHERE NOT broken
         )
-        SELECT replace(replace(path, ']', ''), '"', '') AS pointer, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'string' END AS kind, count(*) AS n, sum(length(json_extract_string(atom, '$'))) AS chars
+        SELECT replace(replace(path, ']', ''), '"', '') AS pointer, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'string' END AS kind, count(*) AS n, sum(length(json_extract_string(atom, '$')))::BIGINT AS chars
         FROM nodes GROUP BY ALL
     """,
     "page_intake": """
