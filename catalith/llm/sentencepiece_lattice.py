@@ -57,7 +57,7 @@ MASK_BITS, LONG_SEGMENT = 61, 255
 #: Segments whose ids are sent to all tasks at most; a word counts if a part of COUNTED_CHARS has it so often.
 HOT_SEGMENTS, HOT_TIMES = 400_000, 2
 #: Bytes of text that are cut into words at once, about, to count them and to code them.
-COUNTED_CHARS, CODED_CHARS = 8_000_000, 3_000_000
+COUNTED_CHARS, CODED_CHARS = 12_000_000, 4_000_000
 #: Distinct segments outside the hot ones and characters of text in a chunk, about.
 CHUNK_WORDS, CHUNK_CHARS = 100_000, 16_000_000
 #: Segments whose edges a task holds before it sorts instead.
