@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from catalith.operators import documents as D
 from catalith.operators.documents import all_positions
 from catalith.plans.documents import quantities
 
@@ -43,3 +44,15 @@ def test_quotes_of_any_length(spark, monkeypatch):
         got = sorted((r.doc_id, r.q, r.at) for r in D.locate_quotes(docs, asked, "text", "quote", "doc_id", "q").collect())
         assert got == want
     assert D.locate_quotes(docs, asked.limit(0), "text", "quote", "doc_id", "q").count() == 0
+
+
+def test_phrases_that_share_all_their_words_meet_queries_as_one_set(spark):
+    """400 copies of two sets of words on both sides: pairs are formed of sets, and the smallest ids of the best sets are found."""
+    phrases = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b", "a", "c"]) for i in range(400)], "id long, words array<string>")
+    found = D.phrase_search(phrases, phrases.where("id < 40"), 3)
+    out = sorted(map(tuple, found.select("query_id", "position", "phrase_id").collect()))
+    assert out == sorted((q, n + 1, 2 * n + q % 2) for q in range(40) for n in range(3))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join Inner, (word" in line)
+    below = [line for line in lines[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > lines[at].index("Join")]
+    assert below and not any("phrase_id#" in line or "query_id#" in line for line in below)
