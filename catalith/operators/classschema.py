@@ -37,6 +37,13 @@ def _quoted_list(items: Column) -> Column:
     return F.to_json(F.coalesce(items, F.array().cast("array<string>")))
 
 
+def first_rules(rules: DataFrame) -> DataFrame:
+    """One rule for each class and feature: the first by its own fields, of several under one id. A feature that two rules met would be two features of its class."""
+    named = ["buyer_critical", "required", F.array_sort(F.map_entries("expected")).alias("expected"), "rationale"]
+    kept = rules.groupBy("class_id", "feature_id").agg(F.min(F.struct(*named)).alias("r")).select("class_id", "feature_id", "r.*")
+    return kept.withColumn("expected", F.map_from_entries("expected"))
+
+
 def schema_features(features: DataFrame, allowed: DataFrame, rules: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """A row for each feature of each class with all that a schema says of it.
 

@@ -48,7 +48,7 @@ def schema_features(spark, sf_dir):
 def class_schema_order(spark, sf_dir):
     """The order of each class's features, as its schema has it."""
     features, allowed, rules, classes = _tables(spark, sf_dir)
-    out = S.class_schemas(S.schema_features(features, allowed, rules), classes)
+    out = S.class_schemas(S.schema_features(features, allowed, S.first_rules(rules)), classes)
     order = F.from_json(F.get_json_object("json_schema", "$.properties.features.propertyOrdering"), "array<string>")
     return out.select("class_id", F.col("n_features").cast("long").alias("n_features"), F.get_json_object("metadata", "$.etim_class_name").alias("class_name"), F.array_join(order, ",").alias("features"))
 
@@ -56,7 +56,7 @@ def class_schema_order(spark, sf_dir):
 def class_schema_documents(spark, sf_dir):
     """Metadata, response schema and fingerprint of each class; tests hold them against documents built by hand."""
     features, allowed, rules, classes = _tables(spark, sf_dir)
-    return S.class_schemas(S.schema_features(features, allowed, rules), classes)
+    return S.class_schemas(S.schema_features(features, allowed, S.first_rules(rules)), classes)
 
 
 def class_rule_problems(spark, sf_dir):

@@ -119,3 +119,13 @@ def test_malformed_rules(spark, tmp_path, text, problem):
 def test_class_without_rules_is_a_row(spark, tmp_path):
     (tmp_path / "x.toml").write_text('etim_class_id = "EC000005"')
     assert [(r.class_id, r.feature_id) for r in C.load_class_rules(spark, str(tmp_path)).collect()] == [("EC000005", None)]
+
+
+def test_rules_given_twice_leave_each_feature_once_in_its_class(spark):
+    features = spark.createDataFrame([("C", "F", "n", "N", None, 1)], "class_id string, feature_id string, name string, type string, unit string, position int")
+    allowed = spark.createDataFrame([], "class_id string, feature_id string, value_id string, text string, position int")
+    rules = spark.createDataFrame([("C", "F", True, ["b"], {"VOLTAGE": "2 V"}, "r"), ("C", "F", False, ["a"], {"VOLTAGE": "1 V"}, "r")], "class_id string, feature_id string, buyer_critical boolean, required array<string>, expected map<string,string>, rationale string")
+    once = S.first_rules(rules)
+    assert [(r.buyer_critical, r.required, r.expected) for r in once.collect()] == [(False, ["a"], {"VOLTAGE": "1 V"})]
+    classes = spark.createDataFrame([("C", "c")], "class_id string, class_name string")
+    assert [r.n_features for r in S.class_schemas(S.schema_features(features, allowed, once), classes).collect()] == [1]
