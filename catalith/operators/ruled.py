@@ -3,8 +3,8 @@
 Vertical rules that meet or lie within BAND_GAP of each other are one frame; the places of its
 rules are the bounds of its columns. Words inside a frame are its header, those below it its
 body, until the first row that fills a single column. A page without rules has no table: white
-space is no evidence of a column. Words meet frames by page and strips of the page's height, and
-everything else is a sum or a window over one page's frame.
+space is no evidence of a column. Words are moved once, by page, to meet the page's frames;
+everything else is a sum or a window over one page's frame, for which they need not move again.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ LEAST_COLUMNS = 3
 LEAST_FILLED = 2
 LEAST_HEIGHT = 4.0
 REACH = 400.0
-#: Height of the strips by which words meet frames.
-STRIP = 100.0
 
 
 def frames(rules: DataFrame) -> DataFrame:
@@ -51,32 +49,31 @@ def _anchors(tops: Column) -> Column:
 
 def _placed(words: DataFrame, found: DataFrame) -> DataFrame:
     """Words with their frame, whether they are in its header, and their column (null outside all)."""
-    strip = lambda y: F.floor(y / STRIP).cast("long")
-    spans = found.withColumn("strip", F.explode(F.sequence(strip(F.col("top") - 1), strip(F.col("bottom") + REACH))))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    met = words.select("page", "text", "x0", "x1", F.col("top").cast("double").alias("y")).withColumn("strip", strip(F.col("y"))).join(spans, ["page", "strip"])
-    met = met.where((F.col("y") >= F.col("top") - 1) & (F.col("y") < F.col("bottom") + REACH))
+    held = found.groupBy("page").agg(F.collect_list(F.struct("frame", "top", "bottom", "xs")).alias("held"))
+    middle, y = (F.col("x0") + F.col("x1")) / 2, F.col("y")
+    met = words.select("page", "text", "x0", "x1", F.col("top").cast("double").alias("y")).join(held.hint("merge"), "page")  # by Spark's estimate all frames would be broadcast: it leaves out what explode adds
+    met = met.withColumn("f", F.explode(F.filter("held", lambda f: (y >= f["top"] - 1) & (y < f["bottom"] + REACH)))).select("page", "text", "x0", "x1", "y", "f.*")
     column = F.size(F.filter("xs", lambda x: x <= middle)) - 1
     inside = (column >= 0) & (column < F.size("xs") - 1)
-    return met.select("page", "frame", "text", "x0", "y", (F.size("xs") - 1).alias("columns"), (F.col("y") < F.col("bottom")).alias("is_header"), F.when(inside, column).alias("column_index"))
+    return met.select("page", "frame", "text", "x0", "y", (F.size("xs") - 1).alias("columns"), (y < F.col("bottom")).alias("is_header"), F.when(inside, column).alias("column_index"))
 
 
 def _rows(words: DataFrame, found: DataFrame) -> DataFrame:
-    """(page, frame, is_header, line, columns, cells, filled, outside): rows that hold words, cells as an array with a text for each column."""
-    placed = _placed(words, found)
+    """(page, frame, is_header, line, cells, filled): rows that hold words, cells as an array with a text for each column."""
     part = ["page", "frame", "is_header"]
-    heights = placed.select(*part, "y").distinct().groupBy(*part).agg(_anchors(F.array_sort(F.collect_list("y"))).alias("anchors"))
-    lined = placed.join(heights, part).withColumn("line", F.size(F.filter("anchors", lambda a: a <= F.col("y"))) - 1)
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y", "text"))), lambda w: w["text"]), " "))
-    cells = lined.groupBy(*part, "line", "columns", "column_index").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
-    inside = F.col("column_index").isNotNull()
-    held = cells.groupBy(*part, "line", "columns").agg(F.map_from_entries(F.collect_list(F.when(inside, F.struct("column_index", "text")))).alias("by"), F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outside"))
-    texts = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: F.coalesce(F.try_element_at("by", i), F.lit("")))
-    return held.select(*part, "line", "columns", texts.alias("cells"), "outside").withColumn("filled", F.size(F.filter("cells", lambda c: c != "")))
+    held = _placed(words, found).groupBy(*part).agg(F.max("columns").alias("columns"), F.collect_list(F.struct("x0", "y", "text", "column_index")).alias("words"))
+    held = held.withColumn("anchors", _anchors(F.array_sort(F.array_distinct(F.transform("words", lambda w: w["y"])))))
+    below = F.get("anchors", F.col("line") + 1)
+    lined = held.select(*part, "columns", "words", "anchors", F.posexplode("anchors").alias("line", "anchor"))
+    own = F.array_sort(F.filter("words", lambda w: (w["y"] >= F.col("anchor")) & (below.isNull() | (w["y"] < below)) & w["column_index"].isNotNull()))
+    text = lambda own, i: F.trim(F.array_join(F.transform(F.filter(own, lambda w: w["column_index"] == i), lambda w: w["text"]), " "))
+    each = lambda own: F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: text(own, i))
+    cells = lined.select(*part, "line", F.get(F.transform(F.array(own), each), F.lit(0)).alias("cells"))  # so that own is made once
+    return cells.withColumn("filled", F.size(F.filter("cells", lambda c: c != "")))
 
 
-def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page, table_index, row_index, column_index, is_header, text): every cell of every table, empty ones too.
+def ruled_rows(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page, table_index, row_index, is_header, row): every row of every table, with a text for each column.
 
     words: page, text, x0, x1, top. rules: page, x, top, bottom. Header rows have a filled cell; body rows fill
     LEAST_FILLED columns, and the first that fills fewer (but one at least) ends the table.
@@ -87,14 +84,19 @@ def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
     kept = rows.withColumn("ended", ended).where("filled > 0 AND ended = 0")
     table = F.dense_rank().over(Window.partitionBy("page").orderBy("frame")) - 1
     row = F.row_number().over(Window.partitionBy("page", "frame").orderBy(F.desc("is_header"), "line")) - 1
-    numbered = kept.select("page", table.alias("table_index"), row.alias("row_index"), "is_header", "cells")
-    return numbered.select("page", "table_index", "row_index", F.posexplode("cells").alias("column_index", "text"), "is_header").select("page", "table_index", "row_index", "column_index", "is_header", "text")
+    return kept.select("page", table.alias("table_index"), row.alias("row_index"), "is_header", F.col("cells").alias("row"))
+
+
+def ruled_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page, table_index, row_index, column_index, is_header, text): every cell of every table of ruled_rows, empty ones too."""
+    cells = ruled_rows(words, rules).select("page", "table_index", "row_index", F.posexplode("row").alias("column_index", "text"), "is_header")
+    return cells.select("page", "table_index", "row_index", "column_index", "is_header", "text")
 
 
 def page_tables(pages: DataFrame, words: DataFrame, rules: DataFrame) -> DataFrame:
     """(page, status, tables): NO_TABLE_STRUCTURE without a frame, TABLE_STRUCTURE_UNRESOLVED where frames held no row, else TABLES_EXTRACTED."""
     framed = frames(rules).groupBy("page").agg(F.count(F.lit(1)).alias("frames"))
-    made = ruled_tables(words, rules).groupBy("page").agg((F.max("table_index") + 1).cast("long").alias("tables"))
-    df = pages.select("page").join(framed, "page", "left").join(made, "page", "left")
+    made = ruled_rows(words, rules).groupBy("page").agg((F.max("table_index") + 1).cast("long").alias("tables"))
+    df = pages.select("page").join(framed.hint("merge"), "page", "left").join(made.hint("merge"), "page", "left")
     status = F.when(F.col("frames").isNull(), "NO_TABLE_STRUCTURE").when(F.col("tables").isNull(), "TABLE_STRUCTURE_UNRESOLVED").otherwise("TABLES_EXTRACTED")
     return df.select("page", status.alias("status"), F.coalesce("tables", F.lit(0)).cast("long").alias("tables"))

@@ -42,7 +42,7 @@ def ruled_pages(spark, sf_dir):
 
 def ruled_row_evidence(spark, sf_dir):
     """Claims whose product a row of a table read from words names."""
-    out = R.row_evidence(_table_claims(spark, sf_dir), T.ruled_tables(_words(spark, sf_dir), _rules(spark, sf_dir)))
+    out = R.evidence_in_rows(_table_claims(spark, sf_dir), T.ruled_rows(_words(spark, sf_dir), _rules(spark, sf_dir)))
     return out.select("claim_id", F.col("row_index").cast("long").alias("row_index"), "identity_cell", "text")
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from catalith.operators import ruled as R
+from catalith.plans import ruled as Q
 
 WORDS, RULES = "page int, text string, x0 double, x1 double, top double", "page int, x double, top double, bottom double"
 
@@ -101,3 +102,9 @@ def test_against_a_plain_reading(spark, seed):
 def test_no_pages(spark):
     cells, status = run(spark, {})
     assert cells == [] and status == {}
+
+
+@pytest.mark.parametrize("name", ["ruled_cells", "ruled_pages", "ruled_row_evidence"])
+def test_no_side_that_grows_with_the_pages_goes_through_the_driver(spark, small, name):
+    plan = Q.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
