@@ -11,6 +11,7 @@ import json
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,6 +34,24 @@ CONTENT = (
 )
 
 
+#: Pages, and bytes of them, that a task holds as Python objects at once.
+AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
+
+
+def pieces(batches, column: str, rows: int = AT_ONCE, size: int = BYTES_AT_ONCE):
+    """Arrow batches cut into pieces of so many rows, and of so many bytes of a column, at most; a row is never cut. Arrow's batches of 10,000 pages would all be Python objects at once."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(lengths):
+            if i > start and (i - start >= rows or held + n > size):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 class Refused(Exception):
     """A limit is exceeded while the page is read."""
 
@@ -159,7 +178,7 @@ def read_artifacts(pages: DataFrame, id_col: str, html: str = "html", media_type
     content = to_arrow_type(StructType.fromDDL(f"content struct<{CONTENT}>")["content"].dataType)
 
     def parsed(batches):
-        for batch in batches:
+        for batch in pieces(batches, "data"):
             statuses, contents = [], []
             for status, raw in zip(batch.column("status").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 found = None
@@ -216,7 +235,7 @@ def json_nodes(artifacts: DataFrame, id_col: str) -> DataFrame:
     types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
 
     def nodes(batches):
-        for batch in batches:
+        for batch in pieces(batches, "json"):
             at, rows = [], []
             for i, (block, text) in enumerate(zip(batch.column("block").to_pylist(), batch.column("json").to_pylist(), strict=True)):
                 value = json.loads(text)

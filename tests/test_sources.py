@@ -118,3 +118,21 @@ def test_stream_is_as_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.Mfg_Part_Num, r.family, r.brand_decision, r.manuf_code) for r in rows) == [(f"P-{i}", "WIDGET", "COMMIT", f"A{i}") for i in range(3)]
+
+
+def test_pages_are_held_a_bounded_number_at_once():
+    import pyarrow as pa
+
+    from catalith.sources.artifacts import pieces
+
+    batch = pa.RecordBatch.from_pydict({"x": [b"a" * 3, None, b"b" * 9, b"", b"c", b"d"]})
+    assert [p.column("x").to_pylist() for p in pieces([batch], "x", 2, 8)] == [[b"aaa", None], [b"b" * 9], [b"", b"c"], [b"d"]]
+    assert [p.num_rows for p in pieces([batch, batch.slice(0, 0)], "x", 100, 100)] == [6]
+
+
+def test_parsed_pages_come_in_small_pieces_in_their_order(spark, monkeypatch):
+    from catalith.sources import html
+
+    monkeypatch.setattr(html, "AT_ONCE", 3)
+    pages = spark.range(10).selectExpr("id", "IF(id = 4, NULL, concat('<p>', id, '</p>')) AS html").coalesce(1)
+    assert [(r.id, r.page.visible) for r in html.parse_pages(pages).collect()] == [(i, "" if i == 4 else str(i)) for i in range(10)]
