@@ -10,12 +10,16 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only for sessions that name no shared folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 _WRITTEN: list[tuple[SparkSession, str, int]] = []
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bits of a row's place in its file.
+FILE_BITS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +70,37 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether docs are columns of files as they are read, with nothing between that may change the rows or their order, and rows know their place."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project" and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:  # no files, or of a format whose rows have no place
+        return False
+    return True
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc, rid): the rows of docs, and a number of each row's own: that of its file, and its place in the file.
+
+    How Spark packs files into partitions depends on the executors alive when a
+    plan is made, but a row's place in its file does not, so all plans over docs
+    give a row the same rid, and files need not be written again to number their
+    rows. Paths reach the driver, which lists them in any case.
+    """
+    if not is_scan(docs):
+        docs = settle(docs, "plain")
+    place = docs.metadataColumn("_metadata")
+    rows = docs.select(F.struct("*").alias("doc"), place["file_path"].alias("file"), place["row_index"].alias("at"))
+    paths = sorted(r.file for r in rows.select("file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], "file string, base long")
+    return rows.join(F.broadcast(files), "file").select("doc", (F.col("base") + F.col("at")).alias("rid"))
+
+
 def settle_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """settle(), in buckets by key: readers that group or cogroup by the key need no exchange.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalith.llm.common import settle
+from catalith.llm.common import numbered, settle
 
 MIN_WORDS = 50
 #: Changed documents whose runs are sent to all executors at most; beyond it they are joined by exchange.
@@ -144,7 +144,7 @@ def _without(lines: Column, runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cleared of later copies, and n_lines and n_removed (columns of docs by these names are replaced)."""
     plain = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
-    rows = settle(plain.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("rid")), "rows")
+    rows = numbered(plain)
     slim = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
     runs = settle(_shortest_runs(_stretches(settle(_lines(slim, min_words), "lines"), min_words), min_words), "runs")
     longest = runs.agg(F.max(F.greatest(F.col("end") - F.col("ln"), F.col("ln") - F.col("start")) + 1)).first()[0] or 1

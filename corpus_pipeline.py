@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import DOC_COLUMNS, settle, table
+from catalith.llm.common import DOC_COLUMNS, numbered, settle, table
 from catalith.llm.language_id import fit_on, identify
 from catalith.llm.line_dedup import dedup_lines
 from catalith.llm.ngram_join import jaccard_classes
@@ -22,22 +22,12 @@ BROADCAST_IDS = 500_000
 CHUNK = 1 << 20
 #: Words that a worker remembers there.
 REMEMBERED = 150_000
-#: Bits of a row's place in its file.
-FILE_BITS = 40
 
 
 def _as_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether docs are columns of files as they are read, with nothing between that may change the order of rows."""
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() == "Project":
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation"
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go (those without a letter among them); lang becomes the predicted one."""
     docs = docs.select(*DOC_COLUMNS)
@@ -52,18 +42,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and rid, a number of each row's own: that of its file, and its place in the file.
-
-    How Spark packs files into partitions depends on the executors alive when a
-    plan is made, but a row's place in its file does not, so all plans over docs
-    give a row the same rid. Paths reach the driver, which lists them in any case.
-    """
-    if not _is_scan(docs):
-        docs = settle(docs.select(*DOC_COLUMNS), "plain")
-    rows = docs.select(*DOC_COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    paths = sorted(r.file for r in rows.select("file").distinct().collect())
-    files = docs.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], "file string, base long")
-    return rows.join(F.broadcast(files), "file").select(*DOC_COLUMNS, (F.col("base") + F.col("at")).alias("rid"))
+    """The columns of documents and rid, a number of each row's own."""
+    return numbered(docs.select(*DOC_COLUMNS)).select("doc.*", "rid")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

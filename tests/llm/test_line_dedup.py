@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from catalith.llm import common
 from catalith.llm import line_dedup as m
 from catalith.llm.queries import ORACLE_SQL, op10_line_dedup
 from tests.llm.oracle import same
@@ -58,6 +59,22 @@ def test_columns_stay(spark):
     assert m.dedup_lines(df).collect()[0].asDict() == {"doc_id": 1, "text": "a", "rid": 5, "seg": "r", "removed": 7, "n_lines": 1, "n_removed": 0}
 
 
+def test_files_are_not_copied(spark, tmp_path, monkeypatch):
+    """Texts that lie in files are not written again; rows of several files that repeat a doc_id are told apart."""
+    passage = "\n".join(f"line {i} of a passage that many share" for i in range(20))
+    rows = [(i // 2, f"own {i}\n{passage}" if i % 3 else passage) for i in range(40)] + [(None, passage), (99, None)]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs/part={i}")
+    settled, settle = [], m.settle
+    for module in (m, common):
+        monkeypatch.setattr(module, "settle", lambda df, name: settled.append(df.schema.simpleString()) or settle(df, name))
+    got = m.dedup_lines(spark.read.parquet(f"{tmp_path}/docs"), 50)
+    kept = [r for r in got.collect() if r.text is not None]
+    assert got.count() == len(rows) and settled and not [x for x in settled if "text" in x]
+    assert sum(passage in r.text for r in kept) == 1 and sum(r.n_removed == 20 for r in kept) == len(rows) - 2
+    assert min((r.doc_id for r in kept if passage in r.text)) == 0
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     same(op10_line_dedup(spark, folder), ORACLE_SQL["op10_line_dedup"], folder)
