@@ -121,12 +121,24 @@ def gap_clusters(df: DataFrame, by: list[str], x: str, tolerance: float) -> Data
 
 
 def merged_intervals(df: DataFrame, by: list[str], lo: str, hi: str, gap: float = 0) -> DataFrame:
-    """Intervals that overlap, or lie within gap, joined: (by, lo, hi, n)."""
-    w = Window.partitionBy(*by).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(lo) > reach + gap).cast("int"), F.lit(0))
-    marked = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_run")
+    """Intervals that overlap, or lie within gap, joined: (by, lo, hi, n).
+
+    Runs lie one after another in the order of the intervals, so the last row of a run has its sums
+    from running windows over one sort, and no task holds a table of runs beside its sorted rows.
+    """
+    w = Window.partitionBy(*by).orderBy("_lo", "_hi")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("_lo") > reach + gap).cast("int"), F.lit(0))
+    marked = df.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).withColumn("_new", new)
+    marked = marked.withColumns({"_run": F.sum("_new").over(upto), "_at": F.row_number().over(w).cast("long"), "_last": F.lead("_new", 1, 1).over(w) == 1})
+    first = F.when(F.col("_new") == 1, F.struct("_at", "_lo"))
+    marked = marked.withColumns({
+        "_start": F.last(first, ignorenulls=True).over(upto), "_least": F.first("_lo", ignorenulls=True).over(upto),
+        "_most": F.max(F.struct("_run", "_hi")).over(upto),  # a later run is the larger struct, so this is the run's own
+    }).where("_last")
+    start = F.col("_start")
+    return marked.select(*by, F.when(start.isNull(), F.col("_least")).otherwise(start["_lo"]).alias("lo"), F.col("_most")["_hi"].alias("hi"), (F.col("_at") - F.coalesce(start["_at"], F.lit(1)) + 1).alias("n"))
 
 
 def bucketed(df: DataFrame, x: str, edges: list[float]) -> DataFrame:

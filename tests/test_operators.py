@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,27 @@ def test_rows_and_intervals(spark):
     assert sorted((r.lo, r.hi, r.n) for r in E.merged_intervals(spans, ["k"], "lo", "hi", 2).collect()) == [(0, 9, 3), (20, 21, 1)]
 
 
+def test_intervals_of_any_kind(spark):
+    """Nulls, repeats, and intervals that end before they begin, against one walk in order; one sort and no table of runs."""
+    rng = random.Random(5)
+    some = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    rows = [(k, a, None if a is None or rng.random() < 0.1 else a + rng.randrange(-6, 9)) for k in range(30) for a in [some(90) for _ in range(rng.randrange(1, 25))]]
+    rows += [(99, None, 3), (99, None, None), (99, 50, None), (98, 10, 3), (98, 10, 3), (97, None, None), (96, None, 9), (96, 5, 6), (96, 40, 2), (96, 40, 60)]
+    expected = []
+    for k in {r[0] for r in rows}:
+        reach, runs = None, []
+        for _, a, b in sorted((r for r in rows if r[0] == k), key=lambda r: [(x is not None, x or 0) for x in r]):
+            if not runs or (a is not None and reach is not None and a > reach + 2):
+                runs.append([])
+            runs[-1].append((a, b))
+            reach = max((x for x in (reach, b) if x is not None), default=None)
+        expected += [(k, min((a for a, _ in r if a is not None), default=None), max((b for _, b in r if b is not None), default=None), len(r)) for r in runs]
+    out = E.merged_intervals(spark.createDataFrame(rows, "k int, a int, b int"), ["k"], "a", "b", 2)
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in out.select("k", "lo", "hi", "n").collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
 def test_verification(spark):
     text = "Width 80 mm\nrated up to <= 5 A\nAC-3 duty\nvoltage 24 V\nvoltage 48 V\nlength 2.5 cm, 50/60 Hz"
     import hashlib
