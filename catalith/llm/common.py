@@ -9,7 +9,9 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +141,18 @@ def slices(batches, rows: int = 512):
     trim()
 
 
+def parts(batches, size: int):
+    """Arrow batches in parts of about so many bytes of text; a text is in one part."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1
+            yield batch.slice(at, upto - at)
+            at = min(upto, batch.num_rows)
+    trim()
+
+
 def trim() -> None:
     """Give back what a task has freed: its worker lives on for other tasks, and other stages' libraries."""
     pa.default_memory_pool().release_unused()

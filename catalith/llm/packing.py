@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import begins, remembers, settle, slices
+from catalith.llm.common import begins, parts, remembers, settle
 
 WINDOW = 2048
 END_ID = 1
@@ -37,8 +37,8 @@ OPEN = 32
 GROUP = 64
 #: Words whose ids a worker remembers, and the longest such word in bytes.
 REMEMBERED, LONG_WORD = 800_000, 64
-#: Characters tokenized in one go, about.
-CHUNK = 1 << 22
+#: Bytes of text tokenized in one go, about.
+CHUNK = 1 << 23
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,25 +48,62 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Whether a byte, or a byte after 0xC3, ends a letter or digit that stays one, of one code point, when normalized and lower-cased (0-9, A-Z, a-z, À-ÿ but × and ÷).
+_SAFE, _SAFE_AFTER_C3 = np.zeros(256, bool), np.zeros(256, bool)
+_SAFE[[c for c in range(128) if chr(c).isalnum()]] = True
+_SAFE_AFTER_C3[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+
+
+def _ids_array(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4"), pa.uint32()))
+
+
+def _ends_apart(words: pa.Array, punctuation: str) -> pa.Array:
+    """Each word as two: what is before the punctuation at its end, and that; the second is empty where they can't be told apart."""
+    if not len(words):
+        return pa.array([], pa.binary())
+    words = pa.concat_arrays([words])  # from the start of its buffers on
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+    cores = pc.binary_length(pc.ascii_rtrim(words, characters=punctuation)).to_numpy()
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    cuts = np.empty(2 * len(words) + 1, np.int32)
+    cuts[::2], mid = offsets, offsets[:-1] + cores
+    if len(data):
+        last, before = data[np.maximum(mid - 1, 0)], data[np.maximum(mid - 2, 0)]
+        apart = ((cores > 0) & _SAFE[last]) | ((cores > 1) & (before == 0xC3) & _SAFE_AFTER_C3[last])
+        mid = np.where(apart, mid, offsets[1:])
+    cuts[1::2] = mid
+    return pa.Array.from_buffers(pa.binary(), 2 * len(words), [None, pa.py_buffer(cuts), words.buffers()[2]])
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and no token, merge, normal form or special
-    string spans it, so the ids of a text are those of its words in order; they are
-    looked up and only words not seen lately are encoded. Nor does one span a letter and
-    the stop or comma that ends its word, so that is looked up on its own.
+    string spans it, so the ids of a text are those of its words in order. Nor does one
+    span a letter or digit (of those in _SAFE) and the punctuation that ends its word, so
+    these are two words here. Words are looked up in an Arrow array, as many at once as a
+    chunk has distinct ones; only words not seen lately are encoded.
     """
 
-    stops = frozenset((b",", b"."))
+    #: Punctuation that may be taken off a word's end; ">" may end a special string.
+    punctuation = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != ">")
 
     def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encoder, self.known, self.most = Tokenizer.from_file(path), {}, remembered or REMEMBERED
+        self.encoder, self.most = Tokenizer.from_file(path), remembered or REMEMBERED
         vocab = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.words, self.ids = pa.array([b""], pa.binary()), _ids_array([b""])
+
+    @property
+    def known(self) -> list[bytes]:
+        """The words remembered."""
+        return self.words.to_pylist()
 
     def _pack(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Words of letters alone are one symbol run each, so they are encoded as one text and cut where a run ends."""
@@ -87,41 +124,42 @@ class WordTokenizer:
             out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        texts = pa.array(texts, pa.string())
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
         # A-Z are lower-cased as the tokenizer would, unless a special string may be in the text.
         plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(plain)
         found = split.flatten().dictionary_encode()
-        parts = self._ids(found.dictionary.cast(pa.binary()).to_pylist())
-        lengths = np.array(list(map(len, parts)), np.int64) // 4
-        starts, at = np.cumsum(lengths) - lengths, found.indices.to_numpy()
-        n = lengths[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(total[-1]) + np.repeat(starts[at] - total[:-1], n)
-        data, ends = np.frombuffer(b"".join(parts), "<u4")[place].tobytes(), (4 * total[split.offsets.to_numpy()]).tolist()
+        halves = _ends_apart(found.dictionary, self.punctuation).dictionary_encode()
+        pairs = self._ids(halves.dictionary).take(halves.indices)
+        # Two halves are a word again.
+        words = pa.ListArray.from_arrays(pairs.offsets[::2], pairs.values)
+        ids = words.take(found.indices)
+        data, ends = ids.values.to_numpy().tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)[split.offsets.to_numpy()]).tolist()
         return [data[a:b] for a, b in itertools.pairwise(ends)]
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+    def _ids(self, words: pa.Array) -> pa.ListArray:
         """Ids of distinct words (an empty one has none)."""
-        known = self.known
-        if len(known) + len(words) > self.most:
-            known.clear()
-        parts = list(map(known.get, words))
-        gaps = [i for i, p in enumerate(parts) if p is None]
-        # A word of letters and a stop is put together each time, and isn't remembered itself.
-        stopped = [words[i][-1:] in self.stops and words[i][-2:-1].isalpha() for i in gaps]
-        cores = {words[i][:-1] if cut else words[i] for i, cut in zip(gaps, stopped, strict=True)}
-        cores = list(cores.union(self.stops) - known.keys())
-        known.update(zip(cores, self._pack(cores), strict=True))
-        for i, cut in zip(gaps, stopped, strict=True):
-            w = words[i]
-            parts[i] = known[w[:-1]] + known[w[-1:]] if cut else known[w]
-        for w in cores:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return parts
+        at = pc.index_in(words, self.words)
+        new = words.filter(at.is_null())
+        packed = _ids_array(self._pack(new.to_pylist()))
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        out = pa.concat_arrays([self.ids, packed]).take(pa.array(place))
+        self._remember(new, packed, words, out)
+        return out
+
+    def _remember(self, new: pa.Array, packed: pa.ListArray, words: pa.Array, ids: pa.ListArray) -> None:
+        """The new words too or, if these are too many, this chunk's alone."""
+        held = [self.words], [self.ids]  # the first word is the empty one
+        if len(self.words) + len(new) > self.most:
+            held, new, packed = ([self.words[:1]], [self.ids[:1]]), words, ids
+        sizes, room = pc.binary_length(new).to_numpy(), self.most - len(held[0][0])
+        short = pa.array(np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))[:room])
+        self.words = pa.concat_arrays([*held[0], new.take(short)])
+        self.ids = pa.concat_arrays([*held[1], packed.take(short)])
 
 
 @functools.lru_cache(maxsize=1)
@@ -211,17 +249,9 @@ def _packed(path: str, window: int, chunk: int, remembered: int | None):
         part, tokens = TaskContext.get().partitionId(), word_tokenizer(path, remembered)
         packer = Packer(part << 32, window)
         end = struct.pack("<I", END_ID)
-        for batch in slices(batches):
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            held, size = [], 0
-            for i in range(len(doc_ids) + 1):
-                if held and (i == len(doc_ids) or size >= chunk):
-                    for d, ids in zip(doc_ids[i - len(held) : i], tokens.encode(held), strict=True):
-                        packer.add(d, ids + end)
-                    held, size = [], 0
-                if i < len(doc_ids):
-                    held.append(texts[i].as_py() or "")
-                    size += len(held[-1])
+        for batch in parts(batches, chunk):
+            for d, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(pc.fill_null(batch.column("text"), "")), strict=True):
+                packer.add(d, ids + end)
             yield _table(packer.out, [], part)
             packer.out = []
         left = packer.end()
@@ -246,7 +276,7 @@ def _merged(window: int):
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, chunk: int = CHUNK, remembered: int | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. chunk: characters tokenized in one go; remembered: words that a worker remembers; less of either takes less memory and more time."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. chunk: bytes of text tokenized in one go; remembered: words that a worker remembers; less of either takes less memory and more time."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = settle(docs.mapInArrow(_packed(path or tokenizer_file(), window, chunk, remembered), f"{_PIECE}, ids binary, part long"), "pieces")
     left = pieces.where("sequence_id IS NULL").withColumn("group", (F.col("part") / GROUP).cast("long"))

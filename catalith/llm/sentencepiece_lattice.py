@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm.common import settle, settle_buckets, trim
+from catalith.llm.common import parts, settle, settle_buckets
 
 MARK = "▁"
 #: Characters of a segment that one 64-bit mask holds (and its end), and that the fold takes at all.
@@ -299,24 +299,12 @@ def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _parts(batches, chars: int):
-    """Arrow batches in parts of about so many bytes of text; a text is in one part."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
-        at = 0
-        while at < batch.num_rows:
-            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)) + 1
-            yield batch.slice(at, upto - at)
-            at = min(upto, batch.num_rows)
-    trim()
-
-
 def _counted(path: str):
     """(segment, times) of words that a part has HOT_TIMES or more, and the characters read, under a null segment."""
 
     def counted(batches):
         cut = _pieces(path).cut
-        for part in _parts(batches, COUNTED_CHARS):
+        for part in parts(batches, COUNTED_CHARS):
             text, out = part.column("text"), Counter()
             found = pc.value_counts(pc.split_pattern(text, " ").flatten())
             found = found.filter(pc.greater_equal(found.field("counts"), HOT_TIMES))
@@ -452,7 +440,7 @@ def _chunks(path: str, hot):
 
     def chunks(batches):
         chunk, size, codes = TaskContext.get().partitionId() << 24, 0, _codes(hot, path)
-        for part in _parts(batches, CODED_CHARS):
+        for part in parts(batches, CODED_CHARS):
             if size >= CHUNK_CHARS or len(codes.rare) >= CHUNK_WORDS:
                 yield from segments(chunk, codes)
                 codes.next_chunk()

@@ -72,3 +72,33 @@ def test_long_words_that_are_another_and_one_byte_more():
         assert max(map(len, t.known)) <= m.LONG_WORD
     for a, b in itertools.permutations(("x" * 65, "x" * 66, "x" * 67), 2):
         assert len(t.encode([f"{a} {b}"])) == 1 and max(map(len, t.known)) <= m.LONG_WORD
+
+
+def test_punctuation_at_the_end_is_a_word_of_its_own():
+    t = m.WordTokenizer(m.tokenizer_file())
+    packed, pack = [], t._pack
+    t._pack = lambda words: packed.extend(words) or pack(words)
+    text = "alpha alpha!! alpha, alpha&&& (alpha) été. été*** 3.5% 3.5"
+    assert list(struct.unpack(f"<{len(b := t.encode([text])[0]) // 4}I", b)) == ids_of([text])[0][:-1]
+    assert sorted(w.decode() for w in packed) == sorted(["alpha", "!!", ",", "&&&", "(alpha", ")", "été", ".", "***", "3.5", "%"])
+    t.encode(["beta!! alpha* *"])
+    assert [w.decode() for w in packed[11:]] == ["beta", "*"] and len(set(t.known)) == len(t.known)
+
+
+def test_ends_that_are_no_words_of_their_own():
+    ends = ["", ".", "!!", "'s", "'s.", "'", ",'", ">", "|>", "...", ">!", "\u0301.", "$$$"]
+    cores = ["", "x", "İ", "é", "e\u0301", "×", "÷", "ß", "½", "٣", "ΑΣ", "日本", "don't", "x'", "<|endoftext|>", "<|endoftext", "a<|endoftext|>b", "Ÿ", "K", "a>", ".x", "3"]
+    texts = [" ".join(c + e for c in cores for e in ends)] + [f"{c}{e}" for c in cores for e in ends] + ["", " ", None]
+    t = m.WordTokenizer(m.tokenizer_file())
+    want = [i[:-1] for i in ids_of([x or "" for x in texts])]
+    for _ in range(2):
+        assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in t.encode([x or "" for x in texts])] == want
+    assert t.encode(["", " \n"]) == [b"", b""]
+
+
+def test_no_more_words_are_remembered_than_said():
+    t = m.WordTokenizer(m.tokenizer_file(), remembered=20)
+    for i in range(30):
+        text = " ".join(f"w{'abcdefghij'[j % 10]}{'x' * (j // 10)}" for j in range(i, 2 * i))
+        b = t.encode([text])[0]
+        assert list(struct.unpack(f"<{len(b) // 4}I", b)) == ids_of([text])[0][:-1] and len(t.known) <= 20
