@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A word (a run of word-start marks and what follows up to the next mark or line end)
-is cut into segments wherever no piece holds the two neighbouring characters, so no
-piece and no merge crosses a cut. Every substring of a segment, up to the longest
+A text, its spaces as marks, is cut into segments wherever no piece holds the two
+neighbouring characters, so no piece and no merge crosses a cut. Every substring of a segment, up to the longest
 piece, is exploded and equi-joined to the piece table; the edges are grouped by
 segment and folded with aggregate(), a Spark higher-order function:
 
@@ -37,9 +36,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -68,7 +65,6 @@ ASSEMBLED_CODES = 200_000
 CHARACTER = 1 << 24
 #: Codes: 256 bytes, then the hot segments, then those of the chunk; long segments of the chunk from here on.
 LONG_CODE = 1 << 31
-_WORD = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 
 
 def model_file() -> str:
@@ -98,11 +94,14 @@ class Pieces:
             raise ValueError("a character of a piece is no piece itself, or a line end")
         if self.longest >= 64 or len(model.pieces) >= 1 << 20:
             raise ValueError("pieces of 64 characters or more, or over a million of them")
-        #: Characters that follow a character in a piece.
-        self.after: defaultdict[str, set] = defaultdict(set)
-        for p, *_ in self.rows:
-            for a, b in itertools.pairwise(p):
-                self.after[a].add(b)
+        # Classes of characters by what may follow them in a piece, and by what they may follow; 0: none.
+        pairs = {x for p, *_ in self.rows for x in itertools.pairwise(p)}
+        lefts, rights = (sorted({x[i] for x in pairs}) for i in (0, 1))
+        self.left, self.right = (np.zeros(0x110000, np.int32) for _ in range(2))
+        self.left[list(map(ord, lefts))] = np.arange(1, len(lefts) + 1) * (len(rights) + 1)
+        self.right[list(map(ord, rights))] = np.arange(1, len(rights) + 1)
+        self.apart = np.ones((len(lefts) + 1) * (len(rights) + 1), bool)
+        self.apart[[self.left[ord(a)] + self.right[ord(b)] for a, b in pairs]] = False
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, rank, first, late): first is the length of the first part; rank 0 is the best score, equal scores have one rank; of BPE, pieces that merges make."""
@@ -130,10 +129,19 @@ class Pieces:
             symbols[i : i + 2] = ["".join(parts)]
         return parts
 
-    def cut(self, word: str) -> list[str]:
-        after = self.after
-        at = [i for i, (a, b) in enumerate(itertools.pairwise(word), 1) if b not in after[a]]
-        return [word[a:b] for a, b in zip([0, *at], [*at, None], strict=True)] if at else [word]
+    def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts, and how many there are before each text and in all."""
+        marked = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", MARK), pc.replace_substring(texts, " ", MARK), "")
+        at = np.frombuffer(marked.buffers()[1] or bytes(4), np.int32)[marked.offset : marked.offset + len(marked) + 1]
+        data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        firsts = np.flatnonzero((data & 0xC0) != 0x80)
+        starts = np.zeros(len(data) + 1, bool)
+        starts[firsts[1:][self.apart[self.left[chars[:-1]] + self.right[chars[1:]]]]] = True
+        starts[at] = True
+        starts = np.flatnonzero(starts).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]), np.searchsorted(starts, at)
 
 
 @functools.lru_cache(maxsize=2)
@@ -295,30 +303,28 @@ def final_ids(path: str, ids: np.ndarray) -> np.ndarray:
 
 
 # --- segments ---------------------------------------------------------------------
-def normal(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
-
-
 def _counted(path: str):
     """(segment, times) of words that a part has HOT_TIMES or more, and the characters read, under a null segment."""
 
     def counted(batches):
-        cut = _pieces(path).cut
+        pieces = _pieces(path)
         for part in parts(batches, COUNTED_CHARS):
-            text, out = part.column("text"), Counter()
+            text = part.column("text")
             found = pc.value_counts(pc.split_pattern(text, " ").flatten())
             found = found.filter(pc.greater_equal(found.field("counts"), HOT_TIMES))
-            for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                for s in cut(MARK + w):
-                    if len(s) <= LONG_SEGMENT:
-                        out[s] += n
+            segments, ends = pieces.segments(found.field("values"))
+            segments = segments.dictionary_encode()
+            times = np.zeros(len(segments.dictionary), np.int64)
+            np.add.at(times, segments.indices.to_numpy(), np.repeat(found.field("counts").to_numpy(), np.diff(ends)))
+            short = pc.less_equal(pc.utf8_length(segments.dictionary), LONG_SEGMENT)
             chars = pc.sum(pc.utf8_length(text)).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([*out, None], pa.string()), pa.array([*out.values(), chars], pa.int64())], ["segment", "times"])
+            segments, times = segments.dictionary.filter(short), pa.array(times).filter(short)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([segments, pa.nulls(1, pa.string())]), pa.concat_arrays([times, pa.array([chars], pa.int64())])], ["segment", "times"])
 
     return counted
 
 
-def _hot(docs: DataFrame, path: str) -> tuple[list[str], _Runs, int]:
+def _hot(docs: DataFrame, path: str) -> tuple[pa.Array, _Runs, int]:
     """The hot segments, most frequent first, their ids, and the characters of all texts."""
     pieces = _pieces(path)
     counts = settle(docs.select("text").mapInArrow(_counted(path), "segment string, times long").groupBy("segment").agg(F.sum("times").alias("times")), "counts")
@@ -333,77 +339,62 @@ def _hot(docs: DataFrame, path: str) -> tuple[list[str], _Runs, int]:
         least = row.times
     chars = counts.where("segment IS NULL").agg(F.sum("times")).first()[0] or 0
     if least is None:
-        return [], _Runs(np.empty(0, np.int32), np.empty(0, np.int64)), chars
+        return pa.array([], pa.string()), _Runs(np.empty(0, np.int32), np.empty(0, np.int64)), chars
     hot = named.where(F.col("times") >= least)
     # Characters in no piece have their codes already; they are segments of one character.
     known = hot.where((F.length("segment") > 1) | F.col("segment").isin(sorted(pieces.single)))
     ids = encode_segments(known.select("segment").repartition("segment"), path)
     rows = ids.join(hot, "segment").toArrow().sort_by([("times", "descending"), ("segment", "ascending")])
-    return rows.column("segment").to_pylist(), _runs_of(path, rows.column("ids")), chars
+    return pa.concat_arrays([pa.array([], pa.string()), *rows.column("segment").chunks]), _runs_of(path, rows.column("ids")), chars
 
 
 class _Codes:
-    """The codes of words; the segments of a chunk that aren't hot are numbered as they come."""
+    """The codes of segments; those of a chunk that aren't hot are numbered as they come."""
 
-    def __init__(self, hot: list[str], pieces: Pieces):
-        self.pieces, self.first = pieces, 256 + len(hot)
-        # A hot segment with the mark before it is a whole word, and is found without the mark; the others are parts of words.
-        self.words = {s[1:]: 256 + i for i, s in enumerate(hot) if s[0] == MARK and MARK not in s[1:]}
-        self.hot = {s: 256 + i for i, s in enumerate(hot) if s[0] != MARK or MARK in s[1:]}
+    def __init__(self, hot: pa.Array, pieces: Pieces):
+        self.pieces, self.hot, self.first = pieces, hot, 256 + len(hot)
+        self.single = pa.array(sorted(pieces.single), pa.string())
         self.next_chunk()
 
     def next_chunk(self) -> None:
-        self.rare: dict[str, int] = {}
-        self.long: dict[str, int] = {}
-
-    def segment(self, s: str) -> list[int]:
-        code = self.words.get(s[1:]) if s[0] == MARK else self.hot.get(s)
-        if code is None:
-            code = self.hot.get(s) or self.rare.get(s) or self.long.get(s)
-        if code is None:
-            if len(s) == 1 and s not in self.pieces.single:
-                return list(s.encode("utf-8", "replace"))
-            if len(s) <= LONG_SEGMENT:
-                code = self.rare[s] = self.first + len(self.rare)
-            else:
-                code = self.long[s] = LONG_CODE + len(self.long)
-        return [code]
-
-    def word(self, word: str) -> list[int]:
-        """What stands between two spaces, or from a line end on."""
-        core = self.words.get(word[:-1])
-        if core is not None and word[-1] not in self.pieces.after[word[-2:-1] or MARK]:
-            return [core, *self.segment(word[-1])]
-        return self.marked(word if word[0] == "\n" else MARK + word)
-
-    def marked(self, word: str) -> list[int]:
-        return [c for s in self.pieces.cut(word) for c in self.segment(s)]
+        self.rare, self.long = (pa.array([], pa.string()) for _ in range(2))
+
+    @staticmethod
+    def _numbers(segments: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The places of distinct segments in known, to which those that aren't there are added."""
+        at = pc.index_in(segments, known)
+        new = segments.filter(at.is_null())
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(known) + np.arange(len(new))
+        return at, pa.concat_arrays([known, new])
+
+    def _of_segments(self, segments: pa.Array) -> _Runs:
+        """Of distinct segments: one code each, and the bytes of a character that is in no piece."""
+        codes = pc.fill_null(pc.index_in(segments, self.hot), -1).to_numpy() + np.int64(256)
+        lengths = np.ones(len(codes), np.int64)
+        size = pc.utf8_length(segments).to_numpy()
+        rest = np.flatnonzero(codes == 255)
+        alone = rest[size[rest] == 1]
+        alone = alone[~pc.is_in(segments.take(pa.array(alone)), self.single).to_numpy(zero_copy_only=False)]
+        long = rest[size[rest] > LONG_SEGMENT]
+        rare = np.setdiff1d(rest, np.concatenate([alone, long]), assume_unique=True)
+        at, self.rare = self._numbers(segments.take(pa.array(rare)), self.rare)
+        codes[rare] = self.first + at
+        at, self.long = self._numbers(segments.take(pa.array(long)), self.long)
+        codes[long] = LONG_CODE + at
+        more = [s.encode() for s in segments.take(pa.array(alone)).to_pylist()]
+        starts = np.arange(len(codes))
+        lengths[alone] = list(map(len, more))
+        starts[alone] = len(codes) + np.cumsum(lengths[alone]) - lengths[alone]
+        return _Runs(np.concatenate([codes, np.frombuffer(b"".join(more), np.uint8)]).astype(np.uint32), lengths, starts)
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """Codes of each text (none of a null one)."""
-        own = pc.fill_null(texts, "")
-        texts = pc.replace_substring(own, "\n", " \n")  # a line's first word apart from the last one of the line before
-        # Runs of marks are words of their own kind, and an empty text has no word.
-        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
-        apart = pc.or_(runs, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(texts, " ")
-        found = split.flatten().dictionary_encode()
-        words = found.dictionary.to_pylist()
-        got = list(map(self.words.get, words))
-        missing = [i for i, c in enumerate(got) if c is None]
-        more = [self.word(words[i]) if words[i] else [] for i in missing]
-        for i in missing:
-            got[i] = 0
-        lengths, starts = np.ones(len(got), np.int64), np.arange(len(got))
-        lengths[missing] = list(map(len, more))
-        starts[missing] = len(got) + np.cumsum(lengths[missing]) - lengths[missing]
-        runs = _Runs(np.array([*got, *itertools.chain.from_iterable(more)], np.uint32), lengths, starts)
-        at = found.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(lengths[at])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        out = np.split(runs.of(at), ends[1:-1])
-        for i in np.flatnonzero(apart):
-            out[i] = np.array([c for w in _WORD.findall(normal(own[i].as_py())) for c in self.marked(w)], np.uint32)
-        return out
+        segments, ends = self.pieces.segments(pc.fill_null(texts, ""))
+        found = segments.dictionary_encode()
+        runs, at = self._of_segments(found.dictionary), found.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(runs.lengths[at])])[ends]
+        return np.split(runs.of(at), ends[1:-1])
 
 
 _CODES: dict = {}
@@ -431,7 +422,7 @@ def _chunks(path: str, hot):
         return pa.RecordBatch.from_arrays([(cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], k)) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
     def segments(chunk: int, codes: _Codes):
-        rare, long = list(codes.rare), list(codes.long)
+        rare, long = codes.rare.to_pylist(), codes.long.to_pylist()
         at = list(range(0, len(rare), 2000))
         if at:
             yield rows({"chunk": [chunk] * len(at), "first": at, "segments": ["\n".join(rare[i : i + 2000]) for i in at]}, len(at))

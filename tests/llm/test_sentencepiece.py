@@ -67,3 +67,31 @@ def test_hot_and_long_segments(spark, monkeypatch):
     for most in (400_000, 5, 0):
         monkeypatch.setattr(m, "HOT_SEGMENTS", most)
         assert {r.doc_id: r.ids for r in run(spark, list(enumerate(texts))).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
+def test_segments_are_cut_where_no_piece_holds_both_characters():
+    pieces = m._pieces(m.model_file())
+    pairs = {p[i : i + 2] for p, *_ in pieces.rows for i in range(len(p) - 1)}
+    texts = [*TEXTS, "", "", "日本 é́ 😀😀", "▁", "\n\n a", "ß" * 3]
+    segments, ends = pieces.segments(m.pa.array(texts))
+    for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        whole = m.MARK + t.replace(" ", m.MARK) if t else ""
+        cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs]
+        assert segments[a:b].to_pylist() == ([whole[i:j] for i, j in zip([0, *cuts], [*cuts, None], strict=True)] if t else [])
+    part = m.pa.array(["cut off", *texts, "cut off"])[1:-1]
+    assert pieces.segments(part)[0].equals(segments) and list(pieces.segments(part)[1]) == list(ends)
+
+
+def test_codes_of_a_chunk():
+    """A rare segment has one code in its chunk, parts or not; characters in no piece are their bytes."""
+    pieces = m._pieces(m.model_file())
+    codes = m._Codes(m.pa.array(["▁the", "▁and"]), pieces)
+    lone = "\U00010348"
+    assert lone not in pieces.single
+    first, null, last = codes.of(m.pa.array(["the rarest and", None, f"rarest\n{lone}"]))
+    assert first[0] == 256 and first[-1] == 257 and len(null) == 0
+    assert list(last[-4:]) == list(lone.encode()) and last[0] == first[1] >= 258
+    again = codes.of(m.pa.array(["rarest", "x" * 0, "e" * 300]))
+    assert again[0][0] == first[1] and len(codes.rare) == len(set(codes.rare.to_pylist()))
+    codes.next_chunk()
+    assert len(codes.rare) == len(codes.long) == 0
