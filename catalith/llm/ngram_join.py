@@ -13,6 +13,10 @@ slim pass over band hashes finds what has such a pair, and only that is sent wit
 its n-gram set. Tasks return a row for each representative (its links counted, and
 the smallest one linked to it inside the task), never pairs.
 
+Joins of sides that grow with the texts are merge joins by a hint: Spark's estimate of a
+side leaves out what explode adds, counts an array as one entry and a file as it is
+compressed, and adaptive execution doesn't take back a broadcast that was planned by it.
+
 Defined results: a null text counts as empty; a text without a word has no link.
 rep_id, class_id are the smallest doc_id that isn't null, else null. Rows that repeat
 are copies. An empty table gives an empty result; other columns are ignored.
@@ -299,12 +303,12 @@ def _grams(n: int):
 
 def _sets_for(docs: DataFrame, due: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(node, grams) of the nodes that are due."""
-    nodes = settle(due.select("node").distinct().join(reps.select("node", "key"), "node"), "due_nodes")
+    nodes = settle(due.select("node").distinct().hint("merge").join(reps.select("node", "key"), "node"), "due_nodes")
     texts = docs.select("text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
     if nodes.count() <= BROADCAST_TEXTS:
         nodes = F.broadcast(nodes)
     else:
-        texts = texts.mapInArrow(_firsts("key"), "text string, key binary")
+        texts, nodes = texts.mapInArrow(_firsts("key"), "text string, key binary"), nodes.hint("merge")
     sets = texts.join(nodes, "key").select("node", "text").mapInArrow(_grams(n), "node long, grams binary")
     return sets.groupBy("node").agg(F.any_value("grams").alias("grams"))
 
@@ -324,10 +328,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     label = F.coalesce("label", "node")
-    named = reps.select("key", "rep_id", "n_copies", "node").join(links, "node", "left").join(labels, "node", "left").withColumn("label", label)
+    named = reps.select("key", "rep_id", "n_copies", "node").join(links.hint("merge"), "node", "left").join(labels.hint("merge"), "node", "left").withColumn("label", label)
     classes = named.groupBy("label").agg(F.min("rep_id").alias("class_id"))
-    named = named.join(classes, "label").select("key", "rep_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return signed.select("doc_id", "key").join(named, "key").select("doc_id", "rep_id", "class_id", "n_links", "n_copies")
+    named = named.join(classes.hint("merge"), "label").select("key", "rep_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return signed.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "rep_id", "class_id", "n_links", "n_copies")
 
 
 def _links(docs: DataFrame, reps: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -335,10 +339,10 @@ def _links(docs: DataFrame, reps: DataFrame, threshold: float, n: int) -> DataFr
     entries = reps.where("bands IS NOT NULL").select("node", "bands", F.posexplode("bands").alias("band", "hash"))
     sizes = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    met = entries.join(sizes, "hash").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = entries.join(sizes.hint("merge"), "hash").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("node", "hash", "band", "bands", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     grouped = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
     due = settle(grouped(met).mapInArrow(_by_group(_pairs_due), met.schema), "due")
-    sent = due.join(_sets_for(docs, due, reps, n), "node")
+    sent = due.join(_sets_for(docs, due, reps, n).hint("merge"), "node")
     return grouped(sent).mapInArrow(_by_group(_verify(threshold)), "node long, links long, root long")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from catalith.llm import components
 from catalith.llm import ngram_join as m
 from catalith.llm.queries import ORACLE_SQL, op9_ngram_join
 from tests.llm.oracle import same
@@ -74,6 +75,23 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_no_side_that_grows_is_broadcast_by_an_estimate(spark, monkeypatch):
+    rng, plans = random.Random(4), []
+
+    def seen(df, *_):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, "seen")
+
+    settle = m.settle
+    monkeypatch.setattr(m, "settle", seen)
+    monkeypatch.setattr(components, "settle", seen)
+    monkeypatch.setattr(m, "BROADCAST_TEXTS", 0)
+    rows = list(enumerate([*near(rng, 20), *near(rng, 20)]))
+    out = m.jaccard_classes(spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA))
+    assert sorted(map(tuple, seen(out).collect()), key=repr) == brute(rows)
+    assert len(plans) > 7 and sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     same(op9_ngram_join(spark, folder), ORACLE_SQL["op9_ngram_join"], folder)
