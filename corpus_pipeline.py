@@ -55,12 +55,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _numbered(docs)
     classes = jaccard_classes(rows.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "class_id")
-    members = settle(classes.join(rows.select("rid", "doc_id"), "rid"), "members")
+    members = settle(classes.join(rows.select("rid", "doc_id").hint("merge"), "rid"), "members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
     firsts = members.groupBy("class_id").agg(F.min(place)["rid"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id", "first")
-    gone = settle(members.join(firsts, "class_id").where("rid <> first").select("rid"), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = settle(members.join(firsts.hint("merge"), "class_id").where("rid <> first").select("rid"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
     return rows.join(gone, "rid", "left_anti").select(*DOC_COLUMNS)
 
 

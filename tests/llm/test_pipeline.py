@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -106,3 +107,22 @@ def test_near_copies_are_the_same_under_any_parallelism(spark, tmp_path):
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     assert found[0] == found[1] == found[2] == list(range(90))
     assert numbers[0] == numbers[1] == numbers[2] and len(set(numbers[0].values())) == 240
+
+
+def test_near_copies_broadcast_nothing_by_an_estimate(spark, small, monkeypatch):
+    settle, plans = p.settle, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, name)
+
+    monkeypatch.setattr(p, "settle", seen)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    few = sorted(map(tuple, p.near_copies(spark, docs, small).collect()))
+    monkeypatch.setattr(p, "BROADCAST_IDS", 0)
+    last = p.near_copies(spark, docs, small)
+    assert sorted(map(tuple, last.collect())) == few and 0 < len(few) < docs.count()
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    # only the files' names, which number rows
+    assert {k for plan in plans for k in re.findall(r"HashedRelationBroadcastMode\(List\(input\[\d+, (\w+)", plan)} <= {"string"}
+    assert len(plans) == 5 and all("SortMergeJoin" in plan for plan in plans)
