@@ -3,8 +3,8 @@
 Vertical rules that meet or lie within BAND_GAP of each other are one frame; the places of its
 rules are the bounds of its columns. Words inside a frame are its header, those below it its
 body, until the first row that fills a single column. A page without rules has no table: white
-space is no evidence of a column. Words are moved once, by page, to meet the page's frames;
-everything else is a sum or a window over one page's frame, for which they need not move again.
+space is no evidence of a column. A page's words are gathered once, in order from above, and meet
+its frames as one row; rows and cells are then parts of that array.
 """
 
 from __future__ import annotations
@@ -28,47 +28,47 @@ def frames(rules: DataFrame) -> DataFrame:
 
     rules: page, x, top, bottom. Places within X_TOLERANCE of their neighbour are one bound, at their mean.
     """
-    order = Window.partitionBy("page").orderBy("top", "bottom", "x")
+    alike = rules.groupBy("page", "top", "bottom").agg(F.collect_list("x").alias("held"))
+    order = Window.partitionBy("page").orderBy("top", "bottom")
     before = F.max("bottom").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("top") - before > BAND_GAP).cast("int"), F.lit(1))
-    banded = rules.select("page", "x", "top", "bottom").withColumn("new", new).withColumn("band", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    side = Window.partitionBy("page", "band").orderBy("x")
-    apart = F.coalesce((F.col("x") - F.lag("x").over(side) > X_TOLERANCE).cast("int"), F.lit(1))
-    places = banded.withColumn("apart", apart).withColumn("place", F.sum("apart").over(side.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = places.groupBy("page", "band", "place").agg(F.avg("x").alias("x"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    found = bounds.groupBy("page", "band").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list("x")).alias("xs"))
+    banded = alike.withColumn("new", new).withColumn("band", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = banded.groupBy("page", "band").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.sort_array(F.flatten(F.collect_list("held"))).alias("held"))
+    first = lambda i: (i == 0) | (F.get("held", i) - F.get("held", i - 1) > X_TOLERANCE)
+    found = found.withColumn("firsts", F.filter(F.transform("held", lambda _, i: i), first))
+    place = lambda at, i: F.slice("held", at + 1, F.coalesce(F.get("firsts", i + 1), F.size("held")) - at)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda sum, x: sum + x) / F.size(xs)
+    found = found.withColumn("xs", F.transform(F.transform("firsts", place), mean))
     found = found.where((F.size("xs") > LEAST_COLUMNS) & (F.col("bottom") - F.col("top") > LEAST_HEIGHT))
     return found.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("top")) - 1).alias("frame"), "top", "bottom", "xs")
 
 
-def _anchors(tops: Column) -> Column:
-    """Of sorted heights the first of each row: one that lies more than ROW_TOLERANCE below the last such one."""
-    last = lambda rows: F.try_element_at(rows, F.lit(-1))
-    return F.aggregate(tops, F.array().cast("array<double>"), lambda rows, t: F.when(last(rows).isNull() | (t - last(rows) > ROW_TOLERANCE), F.concat(rows, F.array(t))).otherwise(rows))
+def _parts(words: DataFrame, found: DataFrame) -> DataFrame:
+    """(page, frame, columns, is_header, words): for each frame the words in its header and those below it, from above, each with its column (one that is not there outside all)."""
+    held = words.where("page IS NOT NULL").groupBy("page").agg(F.sort_array(F.collect_list(F.struct(F.col("top").cast("double").alias("y"), "x0", "x1", "text"))).alias("held"))
+    met = held.join(found.hint("merge"), "page")  # by Spark's estimate all frames would be broadcast: it leaves out what explode adds
+    place = lambda w: F.size(F.filter("xs", lambda x: x <= (w["x0"] + w["x1"]) / 2)) - 1
+    part = lambda name, low, high: F.struct(F.lit(name).alias("is_header"), F.transform(F.filter("held", lambda w: (w["y"] >= low) & (w["y"] < high)), lambda w: F.struct(w["x0"].alias("x0"), w["y"].alias("y"), w["text"].alias("text"), place(w).alias("column_index"))).alias("words"))
+    both = F.array(part(True, F.col("top") - 1, F.col("bottom")), part(False, F.col("bottom"), F.col("bottom") + REACH))
+    return met.select("page", "frame", (F.size("xs") - 1).alias("columns"), F.inline(both)).where(F.size("words") > 0)
 
 
-def _placed(words: DataFrame, found: DataFrame) -> DataFrame:
-    """Words with their frame, whether they are in its header, and their column (null outside all)."""
-    held = found.groupBy("page").agg(F.collect_list(F.struct("frame", "top", "bottom", "xs")).alias("held"))
-    middle, y = (F.col("x0") + F.col("x1")) / 2, F.col("y")
-    met = words.select("page", "text", "x0", "x1", F.col("top").cast("double").alias("y")).join(held.hint("merge"), "page")  # by Spark's estimate all frames would be broadcast: it leaves out what explode adds
-    met = met.withColumn("f", F.explode(F.filter("held", lambda f: (y >= f["top"] - 1) & (y < f["bottom"] + REACH)))).select("page", "text", "x0", "x1", "y", "f.*")
-    column = F.size(F.filter("xs", lambda x: x <= middle)) - 1
-    inside = (column >= 0) & (column < F.size("xs") - 1)
-    return met.select("page", "frame", "text", "x0", "y", (F.size("xs") - 1).alias("columns"), (y < F.col("bottom")).alias("is_header"), F.when(inside, column).alias("column_index"))
+def _starts(words: Column) -> Column:
+    """Of words from above the places of each row's first one: it lies more than ROW_TOLERANCE below the last row's first one."""
+    last = lambda rows: F.try_element_at(rows, F.lit(-1))
+    y = lambda i: F.get(words, i)["y"]
+    return F.aggregate(F.transform(words, lambda _, i: i), F.array().cast("array<int>"), lambda rows, i: F.when(last(rows).isNull() | (y(i) - y(last(rows)) > ROW_TOLERANCE), F.concat(rows, F.array(i))).otherwise(rows))
 
 
 def _rows(words: DataFrame, found: DataFrame) -> DataFrame:
     """(page, frame, is_header, line, cells, filled): rows that hold words, cells as an array with a text for each column."""
     part = ["page", "frame", "is_header"]
-    held = _placed(words, found).groupBy(*part).agg(F.max("columns").alias("columns"), F.collect_list(F.struct("x0", "y", "text", "column_index")).alias("words"))
-    held = held.withColumn("anchors", _anchors(F.array_sort(F.array_distinct(F.transform("words", lambda w: w["y"])))))
-    below = F.get("anchors", F.col("line") + 1)
-    lined = held.select(*part, "columns", "words", "anchors", F.posexplode("anchors").alias("line", "anchor"))
-    own = F.array_sort(F.filter("words", lambda w: (w["y"] >= F.col("anchor")) & (below.isNull() | (w["y"] < below)) & w["column_index"].isNotNull()))
-    text = lambda own, i: F.trim(F.array_join(F.transform(F.filter(own, lambda w: w["column_index"] == i), lambda w: w["text"]), " "))
-    each = lambda own: F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: text(own, i))
-    cells = lined.select(*part, "line", F.get(F.transform(F.array(own), each), F.lit(0)).alias("cells"))  # so that own is made once
+    held = _parts(words, found).withColumn("starts", _starts(F.col("words")))
+    line = lambda at, i: F.slice("words", at + 1, F.coalesce(F.get("starts", i + 1), F.size("words")) - at)
+    own = lambda at, i: F.sort_array(F.filter(line(at, i), lambda w: (w["column_index"] >= 0) & (w["column_index"] < F.col("columns"))))
+    lined = held.select(*part, "columns", F.posexplode(F.transform("starts", own)).alias("line", "own"))
+    text = lambda i: F.trim(F.array_join(F.transform(F.filter("own", lambda w: w["column_index"] == i), lambda w: w["text"]), " "))
+    cells = lined.select(*part, "line", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), text).alias("cells"))
     return cells.withColumn("filled", F.size(F.filter("cells", lambda c: c != "")))
 
 

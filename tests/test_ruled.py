@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from catalith.operators import ruled as R
+from catalith.operators.records import evidence_in_rows
 from catalith.plans import ruled as Q
 
 WORDS, RULES = "page int, text string, x0 double, x1 double, top double", "page int, x double, top double, bottom double"
@@ -108,3 +109,29 @@ def test_no_pages(spark):
 def test_no_side_that_grows_with_the_pages_goes_through_the_driver(spark, small, name):
     plan = Q.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_evidence_reads_each_table_once(spark, small):
+    plan = Q.ruled_row_evidence(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 5  # words of line items, headers and footers; rules; claims
+
+
+def test_words_without_a_place(spark):
+    grid = spark.createDataFrame([(1, *r) for r in GRID] + [(1, None, 100.0, 130.0), (2, 50.0, None, 130.0), (2, 50.0, 100.0, None), (2, 70.0, 100.0, None)], RULES)
+    words = [(1, *w) for w in LINE(105.0, "a", "b", "c")] + [(1, None, 160.0, 190.0, 105.0), (1, "x", None, 90.0, 105.0), (1, "x", 60.0, 90.0, None), (None, "x", 60.0, 90.0, 105.0), (2, "x", 60.0, 90.0, 105.0)]
+    cells = R.ruled_tables(spark.createDataFrame(words, WORDS), grid).collect()
+    assert sorted(tuple(r) for r in cells) == [(1, 0, 0, i, True, t) for i, t in enumerate("abc")]
+
+
+def test_rows_that_name_a_product_in_several_cells(spark):
+    rows = [
+        (1, 0, 0, True, ["Part", "", "Also"]), (1, 0, 1, False, ["q 1", None, "Q1"]), (1, 0, 2, False, ["", " ", "q1"]), (1, 0, 3, False, ["q2", "q1", "q 1"]),
+        (1, 1, 0, False, ["q1"]), (2, 0, 0, False, ["q1", "q9"]), (3, 0, 0, True, ["q1"]),
+    ]
+    rows = spark.createDataFrame(rows, "page int, table_index int, row_index int, is_header boolean, row array<string>")
+    claims = spark.createDataFrame([("a", 1, "Q 1"), ("b", 1, "q2"), ("c", 2, "q9"), ("d", 3, "q1"), ("e", 1, ""), ("f", 1, None), ("g", None, "q1")], "claim_id string, page int, mpn string")
+    out = sorted(tuple(r) for r in evidence_in_rows(claims, rows).collect())
+    assert out == [
+        ("a", 0, 1, 0, "q 1", "Part Also q 1 Q1"), ("a", 0, 2, 2, "q1", "Part Also q1"), ("a", 0, 3, 1, "q1", "Part Also q2 q1 q 1"), ("a", 1, 0, 0, "q1", "q1"),
+        ("b", 0, 3, 0, "q2", "Part Also q2 q1 q 1"), ("c", 0, 0, 1, "q9", "q1 q9"),
+    ]
